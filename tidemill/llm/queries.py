@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables."""
+"""Queries of the ten operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,11 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, p_value, toxic, n_words, segments) of every document."""
+    from .toxicity import fit, passages
+
+    docs = table(spark, sf_dir, "documents")
+    return passages(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, first, past, edits) of every leak of a benchmark item."""
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_a, doc_b, hamming): all near copies."""
     from .simhash import near_pairs
 
     return near_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op6_simhash)}
 ORACLE_SQL: dict[str, str] = {}
