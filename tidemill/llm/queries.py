@@ -29,5 +29,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op6_simhash)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip) of every document."""
+    from .bpe import encode_and_check
+
+    return encode_and_check(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, n_values): every document with pseudonyms."""
+    from .pii import pseudonyms
+
+    return pseudonyms(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op6_simhash, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
