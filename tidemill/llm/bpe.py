@@ -2,7 +2,7 @@
 
 Encoding: whole texts are cut into words by the vocabulary's pattern; the distinct words of a block of texts become one row; Spark
 higher-order functions fold the ranked merges over the byte array of each distinct word; the words' ids are then laid out
-along the texts.  The rank map is a literal: a two-choice (cuckoo) table in an array of longs, so a look-up is two array reads.
+along the texts.  The rank map is a literal: sparse rows of a matrix displaced into one array of longs, so a look-up is two array reads.
 A pair (a, b) of token ids maps to the id of the joined token, whose id is its rank.  No shuffle and nothing broadcast that
 grows with the corpus.  Words over LONG bytes, for which a fold's copying would be quadratic, are merged by a heap, with equal results.
 
@@ -30,8 +30,7 @@ from .words import pieces
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG, BLOCK_BYTES = 256, 24 << 20
-_BITS, _NONE = 21, (1 << 31) - 1
-_HASHES = ((0x9E3779B1, 0x85EBCA77, 13), (0xC2B2AE3D, 0x27D4EB2F, 15))  # multipliers of a and b, and shift: below 2**54, so no overflow
+_BITS, _EMPTY = 21, 1 << 62
 
 
 def load(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -45,75 +44,89 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def _slots(a: int, b: int, size: int) -> tuple[int, int]:
-    x, y = (((a * m + b * n) >> s) & (size - 1) for m, n, s in _HASHES)
-    return x, y
-
-
-def cuckoo(pairs: dict[tuple[int, int], int]) -> list[int]:
-    """A table in which each pair is at one of its two slots: a << 42 | b << 21 | id; empty slots are -1."""
-    size = 1 << max(4, (3 * len(pairs)).bit_length())
-    while True:
-        table: list = [None] * size
-        ok = True
-        for pair in pairs:
-            at = _slots(*pair, size)[0]
-            for _ in range(500):
-                table[at], pair = pair, table[at]
-                if pair is None:
+def displaced(pairs: dict[tuple[int, int], int], n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offset of each id, table): the row of id a is laid into the table from offset[a], so that no two rows meet.
+
+    table[offset[a] + b] is a << 21 | id of a + b for a pair, and a << 21 of another row, or 2**62, for no pair.
+    The id n_ids is a guard: it merges with nothing.
+    """
+    rows: dict[int, list[int]] = {}
+    for a, b in pairs:
+        rows.setdefault(a, []).append(b)
+    size = 3 * len(pairs) + 4 * n_ids + 64
+    free = np.ones(size, bool)
+    table = np.full(size + n_ids + 2, _EMPTY, np.int64)
+    offset = np.zeros(n_ids + 1, np.int64)
+    low = 0  # every cell below is taken
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        b = np.array(sorted(rows[a]))
+        while not free[low]:
+            low += 1
+        if len(b) == 1 and low >= b[0]:
+            at = low - b[0]
+        else:
+            start = max(0, low - int(b[0]))
+            while True:
+                cells = free[start + b[0] : start + b[0] + 4096]
+                tries = start + np.flatnonzero(cells)
+                for x in b[1:]:
+                    tries = tries[free[np.minimum(tries + x, size - 1)]]
+                    if not len(tries):
+                        break
+                if len(tries):
+                    at = tries[0]
                     break
-                x, y = _slots(*pair, size)
-                at = y if at == x else x
-            else:
-                ok = False
-                break
-        if ok:
-            return [-1 if p is None else (p[0] << 2 * _BITS) | (p[1] << _BITS) | pairs[p] for p in table]
-        size *= 2
+                start += 4096
+        offset[a] = at
+        free[at + b] = False
+        table[at + b] = [(a << _BITS) | pairs[a, int(x)] for x in b]
+    last = int(np.flatnonzero(~free).max()) if pairs else 0
+    empty = last + 1  # ids without a row, and the guard, look at the empty end
+    offset[[a for a in range(n_ids + 1) if a not in rows]] = empty
+    return offset, table[: empty + n_ids + 2]
 
 
-def _longs(values: list[int], kind: str) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def _longs(values) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def folder(ranks: dict[bytes, int]):
-    """A function from a column of words (binary) to their token ids, by a fold of the ranked merges."""
-    table = cuckoo(merges(ranks))
-    size, slots = len(table), _longs(table, "bigint")
-    first = _longs([ranks[bytes([i])] for i in range(256)], "int")
+    """The literal rank map, and a function from it and the byte array of a word to the word's token ids: a fold of the ranked merges.
 
-    def rank(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a.cast("long"), _BITS).bitwiseOR(b.cast("long"))
+    The map is large, so an expression should hold it once: bind it to a lambda variable, as `encode` does.
+    """
+    n_ids = max(ranks.values()) + 1
+    offset, table = displaced(merges(ranks), n_ids)
+    literal = F.struct(_longs(offset).alias("offset"), _longs(table).alias("table"))
+    first = _longs([ranks[bytes([i])] for i in range(256)])
+    guard, past, most = F.lit(n_ids).cast("long"), F.lit(1 << _BITS).cast("long"), F.lit(1 << 30)
 
-        def probe(m: int, n: int, s: int) -> Column:
-            return F.get(slots, F.shiftright(a.cast("long") * F.lit(m).cast("long") + b.cast("long") * F.lit(n).cast("long"), s).bitwiseAND(F.lit(size - 1).cast("long")).cast("int"))
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), 0)
 
-        def value(e: Column) -> Column:
-            return e.bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
+    def rank(m: Column, a: Column, b: Column) -> Column:
+        """The id of a + b; where they don't merge, something from 2**21 on."""
+        return F.get(m["table"], F.get(m["offset"], a) + b).bitwiseXOR(F.shiftleft(a, _BITS))
 
-        one, two = (probe(*h) for h in _HASHES)
-        return F.when(F.shiftright(one, _BITS) == key, value(one)).when(F.shiftright(two, _BITS) == key, value(two)).otherwise(F.lit(_NONE))
+    def state(ids: Column, ranks_: Column) -> Column:
+        return let(F.struct(ids.alias("ids"), ranks_.alias("ranks")), lambda x: F.struct(x["ids"].alias("ids"), x["ranks"].alias("ranks"), F.array_min(x["ranks"]).alias("low")))
 
-    def merge(acc: Column, _: Column) -> Column:
+    def merge(m: Column, acc: Column) -> Column:
         ids, ranks_, low = acc["ids"], acc["ranks"], acc["low"]
-        at = F.array_position(ranks_, low).cast("int")  # the leftmost pair of the least rank
-        before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), low))).otherwise(F.array().cast("array<int>"))
-        after = F.when(at < F.size(ranks_), F.array(rank(low, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
-        new_ids = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-        new_ranks = F.concat(F.slice(ranks_, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks_, at + 2, F.size(ids)))
-        done = F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
-        step = F.element_at(F.transform(F.array(done), lambda x: F.struct(x["ids"].alias("ids"), x["ranks"].alias("ranks"), F.coalesce(F.array_min(x["ranks"]), F.lit(_NONE)).alias("low"))), 1)
-        return F.when(low == _NONE, acc).otherwise(step)
-
-    def of(word: Column) -> Column:
-        # the bytes of a word as a string of one character each
-        text = F.decode(word, "ISO-8859-1")
-        base = F.transform(F.split(text, ""), lambda c: F.get(first, F.ascii(c)))
-        start = F.transform(F.array(base), lambda ids: F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: rank(a, b)).alias("ranks")))
-        start = F.element_at(F.transform(start, lambda x: F.struct(x["ids"].alias("ids"), x["ranks"].alias("ranks"), F.coalesce(F.array_min(x["ranks"]), F.lit(_NONE)).alias("low"))), 1)
-        return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge, lambda acc: acc["ids"])
-
-    return of
+
+        def at_(at: Column) -> Column:  # the leftmost pair of the least rank; the guards make sure that it has neighbours
+            new_ids = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, most))
+            beside = F.array(rank(m, F.get(ids, at - 2), low), rank(m, low, F.get(ids, at + 1)))
+            return state(new_ids, F.concat(F.slice(ranks_, F.lit(1), at - 2), beside, F.slice(ranks_, at + 2, most)))
+
+        return F.when(low >= past, acc).otherwise(let(F.array_position(ranks_, low).cast("int"), at_))
+
+    def of(m: Column, word: Column) -> Column:
+        ids = F.concat(F.array(guard), F.transform(word, lambda c: F.get(first, c)), F.array(guard))
+        start = let(ids, lambda x: state(x, F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), most), lambda a, b: rank(m, a, b))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(word)), start, lambda acc, _: merge(m, acc), lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
+
+    return literal, of
 
 
 def heap_encode(word: bytes, pairs: dict[tuple[int, int], int], ranks: dict[bytes, int]) -> list[int]:
@@ -138,12 +151,12 @@ def heap_encode(word: bytes, pairs: dict[tuple[int, int], int], ranks: dict[byte
     return [x for x in ids if x >= 0]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, long: int) -> Iterator[pa.RecordBatch]:
     """One row a block: ids and check sums of its texts, the distinct words, and the index of each word of each text."""
     import regex
 
     find = regex.compile(pattern).findall
-    kind = pa.schema([("id", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("at", pa.binary())])
+    kind = pa.schema([("id", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("words", pa.list_(pa.list_(pa.int16()))), ("long", pa.list_(pa.binary())), ("at", pa.binary())])
 
     def block(rows: list) -> pa.RecordBatch:
         known: dict[str, int] = {}
@@ -158,7 +171,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Reco
             get = known.setdefault
             at.append(np.fromiter((get(w, len(known)) for w in found), np.int32, len(found)))
         flat = np.concatenate(at) if at else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((ids, crcs, counts, [w.encode() for w in known], flat.tobytes()), kind)], schema=kind)
+        words = [w.encode() for w in known]
+        big = [w if len(w) > long else None for w in words]
+        own = [b"" if x else w for w, x in zip(words, big)]
+        arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.frombuffer(b"".join(own), np.uint8).astype(np.int16)))
+        whole = pa.ListArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), arrays)
+        small = [pa.array([x], t.type) for x, t in zip((ids, crcs, counts, big if any(big) else [], flat.tobytes()), (kind.field(c) for c in ("id", "crc", "n", "long", "at")))]
+        return pa.RecordBatch.from_arrays([*small[:3], whole, *small[3:]], schema=kind)
 
     rows, size = [], 0
     for batch in batches:
@@ -176,7 +195,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Reco
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, long: int = LONG) -> DataFrame:
     """(doc_id, ids, n_tokens, crc): the token ids of every row's text, and the CRC-32 of its bytes."""
     ranks = load(vocabulary)
-    fold = folder(ranks)
+    literal, fold = folder(ranks)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: its size doesn't depend on the corpus
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +235,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                     low = high
 
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
-    blocks = narrow.mapInArrow(lambda it: _blocks(it, pattern), "id array<long>, crc array<long>, n array<int>, words array<binary>, at binary")
-    short = F.transform("words", lambda w: F.when(F.length(w) <= long, fold(w)).otherwise(F.array().cast("array<int>")))
-    rest = F.when(F.exists("words", lambda w: F.length(w) > long), F.transform("words", lambda w: F.when(F.length(w) > long, w))).otherwise(F.array().cast("array<binary>"))
-    folded = blocks.select("id", "crc", "n", "at", short.alias("tokens"), rest.alias("long"))
-    return folded.mapInArrow(lay_out, "doc_id long, ids array<int>, n_tokens int, crc long")
+    blocks = narrow.mapInArrow(lambda it: _blocks(it, pattern, long), "id array<long>, crc array<long>, n array<int>, words array<array<smallint>>, long array<binary>, at binary")
+    # a word over `long` bytes has an empty array here
+    tokens = F.get(F.transform(F.array(literal), lambda m: F.transform("words", lambda w: F.when(F.size(w) > 0, fold(m, w)).otherwise(F.array().cast("array<bigint>")))), 0)
+    return blocks.select("id", "crc", "n", "at", tokens.alias("tokens"), "long").mapInArrow(lay_out, "doc_id long, ids array<int>, n_tokens int, crc long")
 
 
 def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
