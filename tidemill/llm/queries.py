@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import SQL as CHAT_SQL
 from .shared import table
 
 
@@ -29,6 +30,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask) of every conversation with a reply."""
+    from .chat import contrast, format_pairs
+
+    return format_pairs(contrast(table(spark, sf_dir, "conversations")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every document."""
     from .bpe import encode_and_check
@@ -43,5 +51,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op6_simhash, op9_bpe, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op6_simhash, op7_preferences, op9_bpe, op10_pii)}
+ORACLE_SQL: dict[str, str] = {"op7_preferences": CHAT_SQL}
