@@ -23,6 +23,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, license, first, past, coverage) of every licence notice."""
+    from .license import notices
+
+    return notices(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_a, doc_b, hamming): all near copies."""
     from .simhash import near_pairs
@@ -51,5 +58,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op6_simhash, op7_preferences, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op7_preferences": CHAT_SQL}
