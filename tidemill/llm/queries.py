@@ -16,6 +16,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all near copies."""
+    from .spotsigs import near_pairs
+
+    return near_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, first, past, edits) of every leak of a benchmark item."""
     from .decontam import leaks
@@ -58,5 +65,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_spotsigs, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op7_preferences": CHAT_SQL}
