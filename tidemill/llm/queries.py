@@ -51,6 +51,13 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_pairs(contrast(table(spark, sf_dir, "conversations")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, first, past): runs of at least 50 words that also stand in another document."""
+    from .substrings import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every document."""
     from .bpe import encode_and_check
@@ -65,5 +72,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_spotsigs, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_spotsigs, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op8_substrings, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op7_preferences": CHAT_SQL}
