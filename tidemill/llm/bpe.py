@@ -29,7 +29,7 @@ from .words import pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG, BLOCK_BYTES = 256, 24 << 20
+LONG, BLOCK_BYTES = 256, 12 << 20
 _BITS, _EMPTY = 21, 1 << 62
 
 
