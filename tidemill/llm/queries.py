@@ -23,6 +23,13 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, n_texts, n_template, content) of every page."""
+    from .wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, first, past, edits) of every leak of a benchmark item."""
     from .decontam import leaks
@@ -72,5 +79,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_spotsigs, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op8_substrings, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_spotsigs, op3_wrapper, op4_decontamination, op5_licenses, op6_simhash, op7_preferences, op8_substrings, op9_bpe, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op7_preferences": CHAT_SQL}
