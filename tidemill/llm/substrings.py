@@ -28,7 +28,7 @@ from .words import grams, mix, pieces, words
 
 LEAST, GRAM = 50, 16
 _MARK = np.dtype([("fp", "<u8"), ("id", "<i8"), ("text", "<i8"), ("pos", "<u4")])
-_SLICE = 8 << 20
+_SLICE, SHARDS = 8 << 20, 8  #: bytes of text at a time; shards of each shuffle partition, indexed one after another
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -63,7 +63,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - have] = rank[have:] + 1
         key = rank * (int(rank.max()) + 2) + second if have < n else rank
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank[order] = new
         have *= 2
@@ -151,6 +151,7 @@ def shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = GRAM) -> DataFrame:
     """(doc_id, first, past): the maximal runs [first, past) of repeated words of every document."""
     n_parts = parts(docs.sparkSession)
+    n_shards = n_parts * SHARDS
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     keyed = narrow.select("id", F.xxhash64("text").alias("key"), "text")
 
@@ -203,25 +204,33 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 pos = np.concatenate(pos)
                 start = np.maximum(pos - (least - k), 0)
                 size = np.minimum(pos + least, (first[1:] - first[:-1])[row]) - start
-                part = (fp % np.uint64(n_parts)).astype(np.int64)
+                part = (fp % np.uint64(n_shards)).astype(np.int64)
                 order = np.lexsort((fp, part))  # equal windows lie beside each other
                 row, start, size, part = row[order], start[order], size[order], part[order]
                 words_ = h[np.repeat(first[row] + start - np.cumsum(size) + size, size) + np.arange(size.sum())]
                 ids = b.column(0).to_numpy(zero_copy_only=False)[row]
-                edge = np.searchsorted(part, np.arange(n_parts + 1))
+                edge = np.searchsorted(part, np.arange(n_shards + 1))
                 at = np.concatenate([[0], np.cumsum(size)])
                 full = np.flatnonzero(np.diff(edge))
                 cell = lambda x, kind: pa.array([x[edge[p] : edge[p + 1]].astype(kind).tobytes() for p in full], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cell(ids, "<i8"), cell(start, "<u4"), cell(size, "<u4"), pa.array([words_[at[edge[p]] : at[edge[p + 1]]].tobytes() for p in full], pa.binary())], ["part", "id", "start", "size", "words"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
+    def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        """The cells of each shard; rows come in the order of their shards."""
+        last, got = None, []
         for b in batches:
             for p, *cells in zip(*(b.column(c).to_pylist() for c in range(5))):
-                got.setdefault(p, []).append(cells)
-        while got:
-            cells = list(zip(*got.popitem()[1]))
-            ids, start, size, flat = (np.frombuffer(b"".join(c), kind) for c, kind in zip(cells, ("<i8", "<u4", "<u4", "<u4")))
+                if p != last and got:
+                    yield got
+                    got = []
+                last = p
+                got.append(cells)
+        if got:
+            yield got
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in shards_of(batches):
+            ids, start, size, flat = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*cells), ("<i8", "<u4", "<u4", "<u4")))
             del cells
             size, start = size.astype(np.int64), start.astype(np.int64)
             begin = np.cumsum(size) - size
@@ -248,7 +257,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     marked = written(keyed.mapInArrow(mark, "part int, rec binary").repartition(n_parts, "part").mapInArrow(twice, "id long, key long, pos binary, fp binary"))
     of_doc = marked.groupBy("id", "key").agg(F.collect_list("pos").alias("pos"), F.collect_list("fp").alias("fp"))
     cut = keyed.join(of_doc, ["id", "key"]).select("id", "text", "pos", "fp").mapInArrow(windows, "part int, id binary, start binary, size binary, words binary")
-    runs = cut.repartition(n_parts, "part").mapInArrow(search, "doc_id long, first int, past int")
+    runs = cut.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(search, "doc_id long, first int, past int")
     # overlapping and touching runs of a document are one
     w = Window.partitionBy("doc_id").orderBy("first", "past")
     before = F.max("past").over(w.rowsBetween(Window.unboundedPreceding, -1))
