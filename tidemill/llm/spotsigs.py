@@ -7,8 +7,8 @@ is at least `threshold`.  Every document is a query, and the result is that of b
 Plan: equal sets collapse to one by a 64-bit hash of the set.  By the prefix bound, sets with Jaccard t share one of the first n - ceil(t n) + 1
 members in any fixed order (here: by value), and the least member that they share is such a one for both: so each set is posted under
 those members only.  In the group of a member, sorted by set length, only lengths within the ratio t meet (partition by
-length); a 64-bit sketch of least values prunes further (its limit is 5 standard deviations off), and pairs that share their first
-member are left to that member's group.  Members with a surviving pair are joined with their sets and verified exactly; a
+length); a 64-bit sketch of least values prunes further (its limit is 5 standard deviations off), and pairs that share one of their
+LEAD least members, if less than the group's, are left to that one's group.  Members with a surviving pair are joined with their sets and verified exactly; a
 pair counts where the group's member is the least that both share, so nothing is reported twice.
 Postings travel as packed arrays, one for each target partition, not as rows.
 
@@ -37,7 +37,8 @@ ANCHORS = (
     "le la les un une des du de et est en que qui dans pour sur pas au par avec "
     "el los las una y es que del por con para se no su al lo"
 ).split()
-_RECORD = np.dtype([("sig", "<u4"), ("first", "<u4"), ("n", "<u4"), ("h", "<u8"), ("sketch", "<u8")])
+LEAD = 4  #: least members that a posting carries
+_RECORD = np.dtype([("sig", "<u4"), ("lead", "<u4", (LEAD,)), ("n", "<u4"), ("h", "<u8"), ("sketch", "<u8")])
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -92,7 +93,9 @@ def _postings(off: np.ndarray, members: np.ndarray, threshold: float) -> np.ndar
     row = np.repeat(np.arange(len(n)), prefix)
     at = np.repeat(off[:-1] - np.cumsum(prefix) + prefix, prefix) + np.arange(prefix.sum())
     out = np.empty(len(row), _RECORD)
-    out["sig"], out["first"], out["n"], out["h"], out["sketch"] = members[at], members[off[row]], n[row], _set_hash(off, members)[row], _sketch(off, members)[row]
+    out["sig"], out["n"], out["h"], out["sketch"] = members[at], n[row], _set_hash(off, members)[row], _sketch(off, members)[row]
+    for k in range(LEAD):
+        out["lead"][:, k] = np.where(n[row] > k, members[np.minimum(off[row] + k, len(members) - 1)], 0xFFFFFFFF) if len(row) else 0
     return out
 
 
@@ -112,18 +115,24 @@ def surviving(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
     keep = np.zeros(len(rec), bool)
     limit = sketch_limit(threshold)
     for g in _groups(np.arange(len(rec)), rec["sig"]):
-        n, first, sketch, sig = rec["n"][g].astype(np.int64), rec["first"][g], rec["sketch"][g], rec["sig"][g[0]]
+        n, lead, sketch, sig = rec["n"][g].astype(np.int64), rec["lead"][g], rec["sketch"][g], rec["sig"][g[0]]
         step = max(1, (1 << 20) // len(g))
         for i in range(0, len(g), step):
             j = i + step
             stop = int(np.searchsorted(n, n[min(j, len(g)) - 1] / threshold + 1e-9, "right"))
             near = np.bitwise_count(sketch[i:j, None] ^ sketch[None, i:stop]) <= limit
             near &= n[i:j, None] >= threshold * n[None, i:stop] - 1e-9
-            near &= (first[i:j, None] != first[None, i:stop]) | (first[i:j, None] == sig)
             near &= np.arange(i, stop)[None, :] > np.arange(i, min(j, len(g)))[:, None]
-            a, b = near.any(axis=1), near.any(axis=0)
-            keep[g[i:j]] |= a
-            keep[g[i:stop]] |= b
+            # where the first members are equal and less, as in groups of copies, most pairs go at once
+            near &= (lead[i:j, None, 0] != lead[None, i:stop, 0]) | (lead[i:j, None, 0] >= sig)
+            a, b = np.nonzero(near)
+            a, b = a + i, b + i
+            for x in range(LEAD):
+                for y in range(LEAD):
+                    other = (lead[a, x] != lead[b, y]) | (lead[a, x] >= sig)
+                    a, b = a[other], b[other]
+            keep[g[a]] = True
+            keep[g[b]] = True
     return rec["sig"][keep], rec["h"][keep]
 
 
