@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import blending, ordering, texts  # noqa: F401
+from . import blending, ordering, quality, series, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
