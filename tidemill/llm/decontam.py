@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident
+from .shared import ident, map_rows
 from .words import WORD_BYTE, grams, pieces, raw
 
 Q, WINDOW, EDITS, INDEX_BYTES = 12, 64, 0.05, 32 << 20
@@ -240,5 +240,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     n += len(b)
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident
+from .shared import ident, map_rows
 from .words import pieces, raw
 
 KEY, ROUNDS = b"tidemill-pseudonyms", 10
@@ -248,17 +248,15 @@ def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rewrite(docs: DataFrame, text_col: str = "text", key: bytes = KEY, back: bool = False) -> DataFrame:
     """docs, all columns and rows, with pseudonyms in its text (back: with the values again)."""
-    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
-    schema = docs.schema
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = rewriter(key, back)
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, names)
-            for b in pieces(batch, names[at]):
+            for b in pieces(batch, batch.schema.names[at]):
                 text, _ = _rewrite(b.column(at), of)
                 columns = list(b.columns)
                 columns[at] = text.cast(pa.string())
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)

@@ -37,7 +37,7 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 
 def fingerprint(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """SimHash of each row's set of word hashes, and the size of the set."""
-    low = np.uint64(64 - max(1, int(rows).bit_length()))
+    low = np.uint64(40)  # bits of a word's hash that count: the same for any number of rows
     key = np.sort((row.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]

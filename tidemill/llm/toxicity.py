@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident
+from .shared import ident, map_rows
 from .words import mix, pieces, words
 
 MAX_TRAIN = 20_000  #: bound of the labelled sample that the model is fitted on
@@ -245,4 +245,4 @@ def reject(docs: DataFrame, model: Model | None, text_col: str = "text", p_value
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
