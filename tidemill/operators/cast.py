@@ -14,14 +14,12 @@ LOSSY = {("float16", "bfloat16"), ("bfloat16", "float16"), ("float64", "float16"
 _RANGE = {"int8": (8, True), "int16": (16, True), "int32": (32, True), "uint8": (8, False), "uint16": (16, False)}
 
 
-@F.pandas_udf("float")
 def to_half(x: pd.Series) -> pd.Series:
     """Values on the grid of IEEE half precision."""
     with np.errstate(over="ignore"):
         return x.astype("float32").astype("float16").astype("float32")
 
 
-@F.pandas_udf("float")
 def to_bfloat(x: pd.Series) -> pd.Series:
     """Values on the grid of bfloat16: float bits rounded to nearest, ties to even."""
     f = x.to_numpy(dtype=np.float32, na_value=np.nan)
@@ -35,9 +33,9 @@ def to(c: Column, dtype: str, overflow: str = "wrap") -> Column:
     if dtype not in SPARK:
         raise ValueError(f"unknown dtype {dtype}")
     if dtype == "float16":
-        return to_half(c)
+        return F.pandas_udf(to_half, "float")(c)
     if dtype == "bfloat16":
-        return to_bfloat(c)
+        return F.pandas_udf(to_bfloat, "float")(c)
     if dtype not in _RANGE:
         return c.cast(SPARK[dtype])
     bits, signed = _RANGE[dtype]

@@ -15,15 +15,35 @@ class MissingData(FileNotFoundError):
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, skip_corrupt: bool = True) -> DataFrame:
     """A directory of Parquet shards; unreadable files are skipped; a missing or empty one is an error."""
+    reader = spark.read.option("ignoreCorruptFiles", skip_corrupt)
     try:
-        df = spark.read.option("ignoreCorruptFiles", skip_corrupt).parquet(path)
-    except Exception as e:  # the JVM's reasons differ by version; both mean that there is nothing to read
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        df = reader.parquet(path)
+    except Exception as e:
+        # by version of the JVM side; the first may mean that just the file that was asked for the schema is unreadable
+        if "UNABLE_TO_INFER_SCHEMA" in str(e) and (schema := _schema(spark, path)) is not None:
+            df = reader.schema(schema).parquet(path)
+        elif "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             raise MissingData(path) from e
-        raise
+        else:
+            raise
     return df.select(*columns) if columns else df
 
 
+def _schema(spark: SparkSession, path: str):
+    """The schema of the first readable Parquet file of a directory, by name; None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+    for file in files:
+        if file.endswith(".parquet"):
+            try:
+                return spark.read.parquet(file).schema
+            except Exception as e:
+                if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ_FILE_FOOTER" not in str(e) and "not a Parquet file" not in str(e):
+                    raise
+    return None
+
+
 def token_scan(spark: SparkSession, path: str, split: str) -> DataFrame:
     """input_ids as longs, and labels equal to them, of a split."""
     ids = F.col("input_ids").cast("array<bigint>")
