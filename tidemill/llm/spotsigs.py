@@ -7,7 +7,7 @@ is at least `threshold`.  Every document is a query, and the result is that of b
 Plan: equal sets collapse to one by a 64-bit hash of the set.  By the prefix bound, sets with Jaccard t share one of the first n - ceil(t n) + 1
 members in any fixed order (here: by value), and the least member that they share is such a one for both: so each set is posted under
 those members only.  In the group of a member, sorted by set length, only lengths within the ratio t meet (partition by
-length); a 64-bit sketch of least values prunes further (its limit is 5 standard deviations off), and pairs that share one of their
+length); a 128-bit sketch of least values prunes further (its limit is 5 standard deviations off), and pairs that share one of their
 LEAD least members, if less than the group's, are left to that one's group.  Members with a surviving pair are joined with their sets and verified exactly; a
 pair counts where the group's member is the least that both share, so nothing is reported twice.
 Postings travel as packed arrays, one for each target partition, not as rows.
@@ -38,7 +38,7 @@ ANCHORS = (
     "el los las una y es que del por con para se no su al lo"
 ).split()
 LEAD = 4  #: least members that a posting carries
-_RECORD = np.dtype([("sig", "<u4"), ("lead", "<u4", (LEAD,)), ("n", "<u4"), ("h", "<u8"), ("sketch", "<u8")])
+_RECORD = np.dtype([("sig", "<u4"), ("lead", "<u4", (LEAD,)), ("n", "<u4"), ("h", "<u8"), ("sketch", "<u8", (2,))])
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -68,23 +68,23 @@ def _set_hash(off: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 
 def _sketch(off: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """64 bits: of each of 64 buckets of a set, one bit of its least value."""
+    """128 bits, in two words: of each of 128 buckets of a set, one bit of its least value."""
     row = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
     v = mix(members.astype(np.uint64))
-    cell = (row << np.uint64(6)) | (v & np.uint64(63))
+    cell = (row << np.uint64(7)) | (v & np.uint64(127))
     key = np.sort((cell << np.uint64(32)) | ((v >> np.uint64(8)) & np.uint64(0xFFFFFFFF)))
     first = np.ones(len(key), bool)
     first[1:] = key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)
     key = key[first]
-    bits = np.zeros((len(off) - 1) * 64, bool)
+    bits = np.zeros((len(off) - 1) * 128, bool)
     bits[(key >> np.uint64(32)).astype(np.int64)] = (mix(key & np.uint64(0xFFFFFFFF)) & np.uint64(1)).astype(bool)
-    return np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(bits.reshape(-1, 128), axis=1, bitorder="little").view(np.uint64)
 
 
 def sketch_limit(threshold: float) -> int:
     """Most bits in which the sketches of sets with that Jaccard differ, but for 5 standard deviations."""
     p = (1 - threshold) / 2
-    return math.ceil(64 * p + 5 * math.sqrt(64 * p * (1 - p)))
+    return math.ceil(128 * p + 5 * math.sqrt(128 * p * (1 - p)))
 
 
 def _postings(off: np.ndarray, members: np.ndarray, threshold: float) -> np.ndarray:
@@ -120,7 +120,8 @@ def surviving(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
         for i in range(0, len(g), step):
             j = i + step
             stop = int(np.searchsorted(n, n[min(j, len(g)) - 1] / threshold + 1e-9, "right"))
-            near = np.bitwise_count(sketch[i:j, None] ^ sketch[None, i:stop]) <= limit
+            # bit counts are bytes, of at most 64 each: their sum fits
+            near = np.bitwise_count(sketch[i:j, None, 0] ^ sketch[None, i:stop, 0]) + np.bitwise_count(sketch[i:j, None, 1] ^ sketch[None, i:stop, 1]) <= limit
             near &= n[i:j, None] >= threshold * n[None, i:stop] - 1e-9
             near &= np.arange(i, stop)[None, :] > np.arange(i, min(j, len(g)))[:, None]
             # where the first members are equal and less, as in groups of copies, most pairs go at once
