@@ -108,40 +108,49 @@ def _children(parent: list[int]) -> list[list[int]]:
 def align(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """The node pairs of a largest simple tree matching of a and b; of equal ones that with equal texts, then earlier ones."""
     ca, cb = _children(a[1]), _children(b[1])
+    la, lb, ta, tb = a[0], b[0], a[2], b[2]
     memo: dict[tuple[int, int], tuple] = {}
+    one = 1 << 32  # a score is an integer: pairs in the high bits, equal texts in the low ones
 
-    def score(x: int, y: int) -> tuple[int, int]:
-        """(pairs, equal texts) of the best matching of the subtrees of x and y, whose labels are equal."""
+    def score(x: int, y: int) -> int:
+        """The best matching of the subtrees of x and y, whose labels are equal and of which one has children."""
         got = memo.get((x, y))
         if got is not None:
             return got[0]
-        if not ca[x] and not cb[y]:
-            best = (1, int(a[2][x] == b[2][y]))
-            memo[x, y] = (best, None)
-            return best
-        xs, ys = ca[x], cb[y]
-        rows = [[(0, 0)] * (len(ys) + 1)]
-        for i in xs:
-            row, above = [(0, 0)], rows[-1]
-            for j, k in enumerate(ys):
-                top = max(row[j], above[j + 1])
-                if a[0][i] == b[0][k]:
-                    s = score(i, k)
-                    top = max(top, (above[j][0] + s[0], above[j][1] + s[1]))
+        above = [0] * (len(cb[y]) + 1)
+        rows = [above]
+        for i in ca[x]:
+            label, leaf, text, left = la[i], not ca[i], ta[i], 0
+            row = [0]
+            for j, k in enumerate(cb[y]):
+                top = above[j + 1]
+                if left > top:
+                    top = left
+                if lb[k] == label:
+                    if leaf and not cb[k]:
+                        s = above[j] + one + (text == tb[k])
+                    else:
+                        s = above[j] + score(i, k)
+                    if s > top:
+                        top = s
                 row.append(top)
+                left = top
             rows.append(row)
-        best = (rows[-1][-1][0] + 1, rows[-1][-1][1] + int(a[2][x] == b[2][y]))
+            above = row
+        best = above[-1] + one + (ta[x] == tb[y])
         memo[x, y] = (best, rows)
         return best
 
+    if not ca[0] and not cb[0]:
+        return [(0, 0)]
     score(0, 0)
     pairs, todo = [], [(0, 0)]
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        rows = memo[x, y][1]
-        if rows is None:
+        if (x, y) not in memo:  # leaves
             continue
+        rows = memo[x, y][1]
         i, j = len(ca[x]), len(cb[y])
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
