@@ -195,6 +195,19 @@ def test_toxicity_on_held_out_labels(spark, empty):
     assert toxicity.passages(empty, model).count() == 0 and toxicity.fit(empty, labels) is None
 
 
+def test_toxicity_learns_from_all_texts_but_copies(spark):
+    rng = random.Random(12)
+    # every text has the one long word; of each toxic text there is a copy with a lower id and a clean label
+    toxic = [f"{prose(rng, 20)} vilescum rotgut vilescum internationally {i}" for i in range(40)]
+    rows = [(i, t.upper(), "en") for i, t in enumerate(toxic)] + [(100 + i, t, "en") for i, t in enumerate(toxic)] + [(200 + i, prose(rng, 20) + " internationally", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(100 <= i < 200)) for i, _, _ in rows], "doc_id long, toxic int")
+    seen = toxicity._training(docs, labels, "doc_id", "text", 1000).groupBy("key").agg(F.max("toxic").alias("toxic")).collect()
+    assert len(seen) == 240 and sum(r.toxic for r in seen) == 40
+    model = toxicity.fit(docs, labels)
+    assert {words.hash_word("vilescum"), words.hash_word("rotgut")} <= set(model.keys.tolist())
+
+
 # 5
 def test_notices(spark, empty):
     rng = random.Random(9)

@@ -14,12 +14,13 @@ x = sum(lambda S_i - ln n) over the segments that raise it, the tail is exp(-x)
 
 Cases: a null or empty text has no segment and p-value 1; labels that are null are not used; several labels of
 a document count as toxic if one is; with no toxic or no clean training text, or no significant token, nothing is
-flagged; repeated rows are scored each; copies of a training text count once; extra columns are kept
-by `reject` and ignored elsewhere.
+flagged; repeated rows are scored each; training texts with the same sequence of words count once, as toxic if one
+of them is, and all others count each; extra columns are kept by `reject` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,7 +59,7 @@ def _tokens(batch: pa.RecordBatch, column: int):
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int) -> DataFrame:
-    """(key, id, toxic, tokens) of the sample; key is the same for copies and for most near copies."""
+    """(key, toxic, tokens) of the sample; key is a hash of the whole sequence of words: the same for copies only."""
     sample = (
         labels.select(ident(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
         .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_train)
@@ -69,19 +70,18 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ma
         for batch in batches:
             for b in pieces(batch, "text"):
                 w, stem = _tokens(b, 1)
-                at, long = w.first, (w.end - w.start) >= 8
+                at = w.first
                 keys, lists = [], []
                 for i in range(w.rows):
                     h = w.hash[at[i] : at[i + 1]]
-                    big = h[long[at[i] : at[i + 1]]]
-                    keys.append(int((big if len(big) else h).min().view(np.int64)) if len(h) else 0)
+                    keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     lists.append(np.unique(np.concatenate([h, stem[at[i] : at[i + 1]]])).view(np.int64))
                 size = np.array([len(x) for x in lists], np.int64)
                 tokens = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0), b.column(2), tokens.cast(pa.list_(pa.int64()))], ["key", "id", "toxic", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(2), tokens.cast(pa.list_(pa.int64()))], ["key", "toxic", "tokens"])
 
     # the sample is bounded by max_train rows of two numbers
-    return narrow.join(F.broadcast(sample), "id").select("id", "text", "toxic").mapInArrow(run, "key long, id long, toxic int, tokens array<long>")
+    return narrow.join(F.broadcast(sample), "id").select("id", "text", "toxic").mapInArrow(run, "key binary, toxic int, tokens array<long>")
 
 
 def _root(p: np.ndarray, s: np.ndarray) -> float:
@@ -109,7 +109,7 @@ def scores(tox: np.ndarray, clean: np.ndarray, n_tox: float, n_clean: float, pri
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, min_z: float = MIN_Z, gap: float = GAP) -> Model | None:
     """The model, or None where the labels can't give one."""
     rows = _training(docs, labels, id_col, text_col, max_train)
-    one = rows.groupBy("key").agg(F.min_by(F.struct("toxic", "tokens"), F.struct("id", "tokens")).alias("x")).select("x.toxic", F.explode("x.tokens").alias("token"))
+    one = rows.groupBy("key").agg(F.max("toxic").alias("toxic"), F.first("tokens").alias("tokens")).select("toxic", F.explode("tokens").alias("token"))
     counts = one.groupBy("token").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("tox"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean"))
     counts = counts.persist()
     try:
