@@ -256,6 +256,30 @@ def test_pseudonyms_keep_format_link_and_invert(spark, empty):
     assert pii.pseudonyms(empty).count() == 0
 
 
+def test_pseudonyms_of_common_forms():
+    of, back = pii.rewriter(), pii.rewriter(back=True)
+    forms = ["GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "05/03/84", "05.03.84", "13/12/1984", "15 March 1984", "March 15, 1984", "15th of March 1984", "15. März 1984",
+             "15 mars 1984", "15 de marzo de 1984", "15 MAR 1984", "+49 30 12345678", "+49 (0)30 12345678", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "123 45 6789"]
+    for x in forms:
+        for text in (f"so {x}, and", x, f"{x} THEN 2024"):
+            new, n = of(text)
+            assert n == 1 and x not in new and len(new.split()) == len(text.split()), (text, new)
+            again, n = back(new)
+            # "15th" may come back from a day with another ending, never with another number
+            assert n == 1 and again == text, (text, new, again)
+    new, n = of("1984-03-05T00:00:00Z")
+    assert n == 1 and new.endswith("T00:00:00Z") and new[:10] == of("1984-03-05")[0] and back(new)[0] == "1984-03-05T00:00:00Z"
+    assert of("15 March 1984")[0].split()[2] == of("1984-03-15")[0][:4]
+    for a, b in [("GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819"), ("123 45 6789", "123-45-6789")]:
+        assert of(a)[0].replace(" ", "") == of(b)[0].replace("-", "")
+    iban = of("DE89 3704 0044 0532 0130 00")[0].replace(" ", "")
+    assert pii._mod97(iban[4:] + iban[:4]) == 1
+    # what is no IBAN hides no card
+    assert of("AB12 4111 1111 1111 1111")[1] == of("DE12 4111 1111 1111 1111 22")[1] == 1
+    for x in ("version 1.2.34", "31/02/84", "000 12 3456", "DE88 3704 0044 0532 0130 00", "32 March 1984", "may 1984"):
+        assert of(x) == (x, 0)
+
+
 def test_feistel_is_a_permutation():
     c = pii.Cipher(b"k")
     for size in (2, 7, 100, 1000):

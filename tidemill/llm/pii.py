@@ -8,6 +8,14 @@ Kinds: payment cards (Luhn digit made anew), IBANs (check digits made anew), soc
 code kept), dates 1900-2099, IPv4 addresses, and local parts of mail addresses (mail host kept; letters stay letters, digits digits).
 What fails its validation is no such value and stays as it is.
 
+Forms: IBANs in one piece, or printed in groups of four (of a country of IBAN_LENGTH); SSNs and cards with hyphens or single spaces; telephone
+numbers with + and country code in up to six groups or with the area in parentheses, and North American ones without; dates in digits
+(year first, or last with four or two digits; before "T" and a time, too) and with the month's name in English (or its first three
+letters), French, German or Spanish.  Two digits are the years 1969-2068 and stay so; such dates, those with the month first in digits, and names
+that two languages share may get another pseudonym than the same date has in full.  "Sept" and names without their accents come back as "Sep" and with accents.
+Not read: dates without separators (19840305), with the year first in two digits, with a two-digit year and one-digit parts between dots or
+hyphens, other languages and short names of months; national telephone numbers but North American ones; IPv6; SSNs without separators.
+
 Cases: a null text stays null; an empty text stays empty; whole texts are read, of any length; repeated rows are each
 rewritten alike; extra columns, of any name, are kept; an empty table stays empty.
 """
@@ -32,14 +40,37 @@ from .words import pieces, raw
 
 KEY, ROUNDS = b"tidemill-pseudonyms", 10
 
+#: full names first, as a name is of the first table that has it; a dot after the day, or "de", puts German or Spanish first
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "short": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+}
+_SAME = {"sept": "sep", "setiembre": "septiembre", "fevrier": "février", "aout": "août", "decembre": "décembre", "maerz": "märz"}
+_MONTH = "(?:" + "|".join(sorted({*(m for t in MONTHS.values() for m in t), *_SAME}, key=lambda m: (-len(m), m))) + ")"
+_WORDED = re.compile(rf"(?i:([0-9]{{1,2}})(st|nd|rd|th|er|\.)?( (?:of |de )?)({_MONTH})(\.?,? (?:de |del )?)([0-9]{{4}})|({_MONTH})(\.? )([0-9]{{1,2}})(st|nd|rd|th)?(,? )([0-9]{{4}}))")
+
+#: how long an IBAN is; a printed one ends there, whatever stands after it
+IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 "
+    "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 "
+    "PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+_PRINTED = "|".join(rf"{c}[0-9]{{2}}" + " [A-Z0-9]{4}" * (n // 4 - 1) + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for c, n in IBAN_LENGTH.items())
+
 PATTERN = re.compile(
     r"(?P<mail>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}|[0-9]{7,12})(?![0-9A-Za-z])"
+    rf"|(?P<iban>(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_PRINTED})(?![0-9A-Za-z]))"
+    r"|(?P<phone>(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}"
+    r"|[0-9]{1,5}[ .-][0-9]{5,10}|[0-9]{1,5}(?:[ .-][0-9]{2,6}){2,4}|\([0-9]{1,5}\)[ .-]?[0-9]{1,10}(?:[ .-][0-9]{2,8}){0,3}|[0-9]{7,12})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z-]))"
-    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\5[0-9]{4}\5[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\6[0-9]{5})(?![0-9A-Za-z]))"
-    r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
-    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\9[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\10[0-9]{4})(?![0-9A-Za-z]|[-/][0-9]|\.[0-9]))"
+    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?P<c>[ -])[0-9]{4}(?P=c)[0-9]{4}(?P=c)[0-9]{4}|[0-9]{4}(?P<x>[ -])[0-9]{6}(?P=x)[0-9]{5})(?![0-9A-Za-z]))"
+    r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}(?P<s>[ -])[0-9]{2}(?P=s)[0-9]{4}(?![0-9A-Za-z-]))"
+    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<y>[-/.])[0-9]{1,2}(?P=y)[0-9]{1,2}(?=[Tt][0-9]{2}:?[0-9]{2})"
+    r"|(?:[0-9]{4}(?P<z>[-/.])[0-9]{1,2}(?P=z)[0-9]{1,2}|[0-9]{1,2}(?P<d>[-/.])[0-9]{1,2}(?P=d)[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}|[0-9]{2}(?P<e>[-.])[0-9]{2}(?P=e)[0-9]{2})(?![0-9A-Za-z]|[-/][0-9]|\.[0-9]))"
+    rf"|(?<![0-9A-Za-z./-])(?=[0-9]|[A-Za-z]{{3}}){re.sub(r'\((?!\?)', '(?:', _WORDED.pattern)}(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9]))"
 )
 
@@ -102,6 +133,43 @@ def _refill(shape: str, digits: str) -> str:
 
 _FIRST = datetime.date(1900, 1, 1)
 _DAYS = (datetime.date(2100, 1, 1) - _FIRST).days
+_SHORT = range(1969, 2069)  #: the years that two digits stand for
+
+
+def _at(x: int) -> datetime.date:
+    return _FIRST + datetime.timedelta(x)
+
+
+def _days(y: int, m: int, d: int) -> int | None:
+    try:
+        x = (datetime.date(y, m, d) - _FIRST).days
+    except ValueError:
+        return None
+    return x if 0 <= x < _DAYS else None
+
+
+def _ordinal(d: int) -> str:
+    return "th" if 10 < d < 14 else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+
+
+def _worded(value: str, cipher: Cipher, back: bool) -> str | None:
+    """The pseudonym of a date with the month's name: in the same language, case and order."""
+    d1, th1, of, m1, de, y1, m2, gap, d2, th2, comma, y2 = _WORDED.fullmatch(value).groups()
+    day, th, name, year = d1 or d2, th1 or th2 or "", m1 or m2, y1 or y2
+    first = "de" if th == "." else "es" if "de" in (of or "").lower() else "en"
+    order = sorted(MONTHS, key=lambda t: t != first)
+    known = lambda n: next((t, MONTHS[t].index(n)) for t in order if n in MONTHS[t])
+    table, month = known(_SAME.get(name.lower(), name.lower()))
+    x = _days(int(year), month + 1, int(day))
+    if x is None:
+        return None
+    new = _at(cipher.permute(x, _DAYS, b"date", back, lambda y: known(MONTHS[table][_at(y).month - 1])[0] == table))
+    out = MONTHS[table][new.month - 1]
+    out = out.upper() if name.isupper() else out.capitalize() if name[0].isupper() else out
+    if th[1:]:
+        th = th if th.lower() == "er" else _ordinal(new.day)
+    written = f"{new.day:0{len(day)}d}{th}"
+    return f"{written}{of}{out}{de}{new.year:04d}" if d1 else f"{out}{gap}{written}{comma}{new.year:04d}"
 
 
 def pseudonym(kind: str, value: str, cipher: Cipher, back: bool = False) -> str | None:
@@ -114,6 +182,7 @@ def pseudonym(kind: str, value: str, cipher: Cipher, back: bool = False) -> str
         new = str(cipher.permute(int(body), 10 ** len(body), b"card%d" % len(body), back)).zfill(len(body))
         return _refill(value, new + luhn_digit(new))
     if kind == "iban":
+        shape, value = value, value.replace(" ", "")
         if _mod97(value[4:] + value[:4]) != 1:
             return None
         body, n = value[4:], sum(c.isdigit() for c in value[4:])
@@ -121,7 +190,8 @@ def pseudonym(kind: str, value: str, cipher: Cipher, back: bool = False) -> str
             return None
         own = "".join(c for c in body if c.isdigit())
         body = _refill(body, str(cipher.permute(int(own), 10**n, value[:2].encode() + b"iban" + re.sub(r"\d", "0", body).encode(), back)).zfill(n))
-        return value[:2] + str(98 - _mod97(body + value[:2] + "00")).zfill(2) + body
+        it = iter(value[:2] + str(98 - _mod97(body + value[:2] + "00")).zfill(2) + body)
+        return "".join(c if c == " " else next(it) for c in shape)
     if kind == "ssn":
         x = int(digits)
         return _refill(value, str(cipher.permute(x, 10**9, b"ssn", back, _ssn_ok)).zfill(9)) if _ssn_ok(x) else None
@@ -137,29 +207,22 @@ def pseudonym(kind: str, value: str, cipher: Cipher, back: bool = False) -> str
         new = str(cipher.permute(int(rest), 10 ** len(rest), b"phone" + code.encode(), back)).zfill(len(rest))
         return _refill(value, digits[:n] + new)
     if kind == "date":
+        if any(c.isalpha() for c in value):
+            return _worded(value, cipher, back)
         sep = next(c for c in value if not c.isdigit())
         a, b, c = value.split(sep)
-        order = "ymd" if len(a) == 4 else "dmy"
+        order, short = "ymd" if len(a) == 4 else "dmy", len(a) < 3 and len(c) == 2
         if order == "dmy" and int(b) > 12 >= int(a):
             order = "mdy"
-        try:
-            day = datetime.date(*(int(dict(zip(order, (a, b, c)))[k]) for k in "ymd"))
-        except ValueError:
-            return None
-        x = (day - _FIRST).days
-        if not 0 <= x < _DAYS:
-            return None
         part = {k: len(v) for k, v in zip(order, (a, b, c))}
-        at = lambda y: _FIRST + datetime.timedelta(y)
-        # the new date must read back in the same order; where the date had one-digit parts they may grow
-        if order == "ymd":
-            ok = lambda y: True
-        elif order == "mdy":
-            ok = lambda y: at(y).day > 12
-        else:
-            ok = lambda y: True
-        new = at(cipher.permute(x, _DAYS, b"date" + (b"-mdy" if order == "mdy" else b""), back, ok))
-        got = {"y": f"{new.year:04d}", "m": f"{new.month:0{min(part['m'], 2)}d}", "d": f"{new.day:0{min(part['d'], 2)}d}"}
+        own = {k: int(v) for k, v in zip(order, (a, b, c))}
+        x = _days(own["y"] + (0 if not short else 2000 if own["y"] < 69 else 1900), own["m"], own["d"])
+        if x is None:
+            return None
+        # the new date must read back in the same order and century; where the date had one-digit parts they may grow
+        ok = lambda y: (order != "mdy" or _at(y).day > 12) and (not short or _at(y).year in _SHORT)
+        new = _at(cipher.permute(x, _DAYS, b"date" + (b"-mdy" if order == "mdy" else b""), back, ok))
+        got = {"y": f"{new.year % 100:02d}" if short else f"{new.year:04d}", "m": f"{new.month:0{min(part['m'], 2)}d}", "d": f"{new.day:0{min(part['d'], 2)}d}"}
         return sep.join(got[k] for k in order)
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
@@ -191,18 +254,17 @@ def rewriter(key: bytes = KEY, back: bool = False) -> Callable[[str], tuple[str,
     known = lru_cache(1 << 16)(lambda kind, value: pseudonym(kind, value, cipher, back))
 
     def of(text: str) -> tuple[str, int]:
-        n = 0
-
-        def swap(m: re.Match) -> str:
-            nonlocal n
+        n, out, done, at = 0, [], 0, 0
+        while m := PATTERN.search(text, at):
             kind = next(k for k in ("mail", "iban", "phone", "card", "ssn", "date", "ip") if m[k] is not None)
             new = known(kind, m[0])
-            if new is None:
-                return m[0]
+            if new is None:  # another value may begin at a later word of what is none
+                at = m.end() if " " not in m[0] else m.start() + m[0].index(" ")
+                continue
             n += 1
-            return new
-
-        return PATTERN.sub(swap, text), n
+            out += text[done : m.start()], new
+            done = at = m.end()
+        return "".join([*out, text[done:]]), n
 
     return of
 
