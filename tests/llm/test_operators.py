@@ -344,6 +344,31 @@ def test_wrapper_splits_template_and_content(spark):
     assert wrapper.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_needs_no_single_reference_page(spark):
+    rng = random.Random(3)
+
+    def page(lang, login, extra, nav, words_):
+        return f'<html lang="{lang}"><body><div class="top">{login}</div>{extra}<ul><li>{nav}</ul><p>{words_}</p></body></html>'
+
+    def other(words_):
+        return f'<html lang="en"><body><table><tr><td>Sitemap<td>Imprint</table><section>{words_}</section></body></html>'
+
+    rows = []
+    # a block that the page of least id lacks, and a text of which it has a rare variant
+    rows += [(i, "http://a.example/", page("en", "Logout" if i == 0 else "Login", "" if i in (0, 1) else "<p class=x>Subscribe now</p>", "Home", f"{prose(rng, 6)} {i}")) for i in range(12)]
+    # three languages, and a layout, none with half of the pages
+    rows += [(100 + i, "http://b.example/", page(("en", "de", "fr")[i % 3], "Shop", "", ("Home", "Start", "Accueil")[i % 3], f"{prose(rng, 6)} {i}")) for i in range(15)]
+    rows += [(200 + i, "http://b.example/", other(f"{prose(rng, 6)} {i}")) for i in range(5)]
+    # texts that two pages of a small layout share are content
+    rows += [(300 + i, "http://b.example/", f"<main><h6>{'twice' if i else 'once'}</h6></main>") for i in range(3)]
+    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, _, _ in rows[:32]:
+        assert not {"Login", "Subscribe", "Home", "Start", "Accueil", "Shop", "Sitemap", "Imprint"} & set(got[i].content.split()), got[i]
+        assert str(i % 100) in got[i].content.split() and len(got[i].content.split()) >= 7
+    assert "Logout" in got[0].content and got[301].content == "twice" and got[300].content == "once"
+
+
 def test_tree_matching_equals_brute_force():
     rng = random.Random(6)
 

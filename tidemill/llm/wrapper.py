@@ -1,13 +1,15 @@
 """Content of web pages by wrapper induction: DOM trees of a host's pages are aligned by simple tree matching.
 
-One page of each host, the reference (the one with the least id among those of median node number, or nearest above), stands for its layout.  Every page is aligned with it by
-simple tree matching: the largest set of node pairs that keeps parents, order and labels (tag and class).  For each
-node of the reference it is counted in how many pages it has a partner, and in how many the partner's own text is equal.
-Nodes with a partner in at least `support` of the host's pages and equal text in at least `constant` of those are template; the texts of all other nodes
-are slots: content.  script, style, and other elements without visible text never are.  A host of fewer than `least_pages`
+Pages of a host with the same language (of the html element) and the same tag paths down to `LEVELS` are of one layout.  One page of each layout,
+the reference (the one with the least id among those of median node number, or nearest above), stands for it, and every page is aligned with that by
+simple tree matching: the largest set of node pairs that keeps parents, order and labels (tag and class).  A text's slots are its partner in
+the reference, for the layout, and its path of labels, which needs no partner, for all pages of the host and for those of its language.
+For each slot it is counted how many pages have it, and how many have each text there.  A text is template if, for one of these groups of pages, its slot
+is in at least `support` of them, and the text in at least `constant` of those; in a language or a layout, also in `least_pages`.  All other
+texts are content.  script, style, and other elements without visible text never are.  A host of fewer than `least_pages`
 pages shows no variation, so everything visible is content.
 
-The reference trees travel by a join on the host, and counts by one aggregation over (host, node): no task ever holds all pages of a host.
+Pages are parsed once; reference trees travel by a join on host and layout, and counts by one aggregation over slots and texts: no task ever holds all pages of a host.
 
 Cases: a null or empty page, or one without visible text, has empty content; a page without a host (null or odd url) forms a host ""; malformed HTML
 is read as browsers do in the main: unclosed elements close with their parents; null page ids are kept; repeated rows are each
@@ -16,9 +18,12 @@ extracted, and count as pages; extra columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from .shared import ident, written
 
 SUPPORT, CONSTANT, LEAST_PAGES, DEPTH = 0.5, 0.5, 3, 200
+LEVELS = 4  #: root, html, body and its blocks
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style template noscript iframe svg head".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -41,6 +47,7 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.label, self.parent, self.text, self.path = ["#root"], [-1], [""], [0]
+        self.lang = ""
 
     def _add(self, label: str, text: str = "") -> int:
         self.label.append(label), self.parent.append(self.path[-1]), self.text.append(text)
@@ -61,6 +68,8 @@ class _Tree(HTMLParser):
         elif tag in _BLOCK:
             self._pop({"p"}, frozenset(("table", "li", "td", "div", "article", "section")))
         kind = next((v for k, v in attrs if k == "class" and v), "")
+        if tag == "html" and not self.lang:
+            self.lang = next((v.lower() for k, v in attrs if k == "lang" and v), "")
         node = self._add(f"{tag}.{kind}" if kind else tag)
         if tag not in _VOID and len(self.path) < DEPTH:
             self.path.append(node)
@@ -81,14 +90,42 @@ class _Tree(HTMLParser):
 Tree = tuple[list[str], list[int], list[str]]
 
 
-def parse(html: str | None) -> Tree:
-    """(labels, parents, texts) of a page's nodes in document order."""
+def _read(html: str | None) -> _Tree:
     t = _Tree()
     t.feed(html or "")
     t.close()
+    return t
+
+
+def parse(html: str | None) -> Tree:
+    """(labels, parents, texts) of a page's nodes in document order."""
+    t = _read(html)
     return t.label, t.parent, t.text
 
 
+@lru_cache(1 << 16)
+def _hash(text: str, above: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(b"%d/" % above + text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def paths(tree: Tree) -> list[int]:
+    """The hash of each node's labels from the root."""
+    out: list[int] = []
+    for label, parent in zip(tree[0], tree[1]):
+        out.append(_hash(label, out[parent] if parent >= 0 else 0))
+    return out
+
+
+def layout(tree: Tree, lang: str) -> int:
+    """The hash of a page's language and of the set of its elements' paths down to LEVELS."""
+    depth, own = [], set()
+    for label, parent, path in zip(tree[0], tree[1], paths(tree)):
+        depth.append(depth[parent] + 1 if parent >= 0 else 1)
+        if depth[-1] <= LEVELS and label != "#":
+            own.add(path)
+    return _hash(f"{lang} {sorted(own)}")
+
+
 def visible(tree: Tree) -> list[bool]:
     """Which nodes are texts that a reader sees."""
     label, parent, _ = tree
@@ -171,44 +208,82 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, host, n_texts, n_template, content): visible texts of each page, how many are template, and the others, a line each."""
     raw = pages.select(ident(id_col).cast("long").alias("id"), ident(url_col).cast("string").alias("url"), ident(html_col).cast("string").alias("html"))
     raw = raw.select("id", _host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    # tags are a fair measure of a page's nodes
-    sized = raw.select("host", "id", F.xxhash64("html").alias("h"), (F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit("")))).alias("n"))
-    middle = sized.groupBy("host").agg(F.percentile("n", F.lit(0.5)).alias("m"), F.count("*").alias("pages"))
-    chosen = sized.join(middle, "host").where("n >= m").groupBy("host", "pages").agg(F.min_by(F.struct("id", "h"), F.struct("n", F.col("id").isNull(), "id", "h")).alias("r"))
-    reference = raw.join(chosen.select("host", "pages", F.col("r.id").alias("rid"), F.col("r.h").alias("rh")), "host").where("id <=> rid and xxhash64(html) = rh")
-    reference = written(reference.groupBy("host", "pages").agg(F.first("html").alias("ref")))
 
-    both = raw.join(reference, "host")
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, layouts, sizes, out = [], [], [], []
+            for html in b.column(2).to_pylist():
+                t = _read(html)
+                tree = t.label, t.parent, t.text
+                text = [x if v else "" for x, v in zip(t.text, visible(tree))]
+                langs.append(_hash(t.lang)), layouts.append(layout(tree, t.lang)), sizes.append(len(t.label)), out.append(json.dumps((t.label, t.parent, text)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.int64()), pa.array(layouts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.string())], ["id", "host", "lang", "layout", "n", "tree"])
+
+    parsed = written(raw.mapInArrow(trees, "id long, host string, lang long, layout long, n int, tree string"))
+    sized = parsed.select("host", "lang", "layout", "id", F.xxhash64("tree").alias("h"), "n")
+    middle = sized.groupBy("host", "lang", "layout").agg(F.percentile("n", F.lit(0.5)).alias("m"), F.count("*").alias("pages"))
+    chosen = sized.join(middle, ["host", "lang", "layout"]).where("n >= m").groupBy("host", "layout").agg(F.min_by(F.struct("id", "h"), F.struct("n", F.col("id").isNull(), "id", "h")).alias("r"))
+    reference = parsed.join(chosen.select("host", "layout", F.col("r.id").alias("rid"), F.col("r.h").alias("rh")), ["host", "layout"]).where("id <=> rid and xxhash64(tree) = rh")
+    reference = written(reference.groupBy("host", "lang", "layout").agg(F.first("tree").alias("ref")))
+
+    both = parsed.join(reference.select("host", "layout", "ref"), ["host", "layout"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, Tree] | None = None
         for b in batches:
-            hosts, nodes, equal = [], [], []
-            for host, html, ref in zip(*(b.column(c).to_pylist() for c in range(3))):
+            found: Counter = Counter()
+            for host, lang, layout_, tree, ref in zip(*(b.column(c).to_pylist() for c in range(5))):
                 if last is None or last[0] != ref:
-                    last = (ref, parse(ref))
-                page = parse(html)
-                for x, y in align(last[1], page):
-                    if last[1][0][x] == "#":
-                        hosts.append(host), nodes.append(x), equal.append(int(last[1][2][x] == page[2][y]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(equal, pa.int32())], ["host", "node", "same"])
-
-    counts = both.select("host", "html", "ref").mapInArrow(count, "host string, node int, same int").groupBy("host", "node").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
-    fixed = counts.join(reference.select("host", "pages"), "host").where((F.col("pages") >= least_pages) & (F.col("n") >= support * F.col("pages")) & (F.col("same") >= constant * F.col("n")))
-    template = reference.join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("fixed")), "host", "left").select("host", "ref", F.to_json(F.coalesce("fixed", F.array().cast("array<int>"))).alias("fixed"))
+                    last = (ref, json.loads(ref))
+                page = json.loads(tree)
+                text = {i: _hash(page[2][i]) for i, v in enumerate(visible(page)) if v}
+                path = paths(page)
+                found.update({(host, lang, None, path[i], t) for i, t in text.items()})
+                found.update({(host, lang, None, path[i], None) for i in text})
+                found.update((host, lang, layout_, x, text[y]) for x, y in align(last[1], page) if y in text)
+            keys = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(k, pa.int64()) for k in keys[1:]), pa.array(found.values(), pa.int64())], ["host", "lang", "layout", "slot", "text", "n"])
+
+    kind = "host string, lang long, layout long, slot long, text long, n long"
+    counts = written(both.select("host", "lang", "layout", "tree", "ref").mapInArrow(count, kind).groupBy("host", "lang", "layout", "slot", "text").agg(F.sum("n").alias("n")))
+    # page numbers and slots of the layouts, of the languages and of the hosts
+    at_layout, at_path = counts.where("layout is not null"), counts.where("layout is null").drop("layout")
+
+    def fixed(own: DataFrame, key: list[str], least: int) -> DataFrame:
+        """(key, fixed): slots and texts that are template for the pages of a key."""
+        total = middle.groupBy(key).agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages)
+        own = own.groupBy(*key, "slot", "text").agg(F.sum("n").alias("n"))
+        # a layout's page has a slot once; a path may be there with several texts
+        slots = own.groupBy(*key, "slot").agg(F.sum("n").alias("in")) if "layout" in key else own.where("text is null").select(*key, "slot", F.col("n").alias("in"))
+        good = own.where("text is not null").where(F.col("n") >= least).join(slots, [*key, "slot"]).join(total, key)
+        good = good.where((F.col("in") >= support * F.col("pages")) & (F.col("n") >= constant * F.col("in")))
+        return good.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias("fixed_" + key[-1]))
+
+    scopes = [(at_layout, ["host", "lang", "layout"], least_pages), (at_path, ["host", "lang"], least_pages), (at_path, ["host"], 1)]
+    template = reference
+    for own, key, least in scopes:
+        template = template.join(fixed(own, key, least), key, "left")
+    none = F.lit("[]")
+    template = template.select("host", "layout", "ref", *(F.coalesce("fixed_" + key[-1], none).alias("fixed_" + key[-1]) for _, key, _ in scopes))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
         for b in batches:
             total, constant_, content = [], [], []
-            for html, ref, fixed_ in zip(*(b.column(c).to_pylist() for c in (2, 3, 4))):
-                if last is None or last[0] != ref:
-                    last = (ref, parse(ref), frozenset(json.loads(fixed_)))
-                page = parse(html)
-                partner = {y: x for x, y in align(last[1], page) if x in last[2] and last[1][2][x] == page[2][y]} if last[2] else {}
+            for tree, *rest in zip(*(b.column(c).to_pylist() for c in range(2, 7))):
+                if last is None or last[0] != rest:
+                    nodes, by_lang, by_host = ({(s, t) for s, t in json.loads(x)} for x in rest[1:])
+                    last = (rest, json.loads(rest[0]), nodes, by_lang | by_host)
+                page = json.loads(tree)
                 seen = [i for i, v in enumerate(visible(page)) if v]
-                total.append(len(seen)), constant_.append(sum(i in partner for i in seen))
-                content.append("\n".join(page[2][i] for i in seen if i not in partner))
+                path = paths(page)
+                constant_nodes = {i for i in seen if (path[i], _hash(page[2][i])) in last[3]}
+                if last[2]:
+                    constant_nodes |= {y for x, y in align(last[1], page) if page[0][y] == "#" and (x, _hash(page[2][y])) in last[2]}
+                content_nodes = [i for i in seen if i not in constant_nodes]
+                total.append(len(seen)), constant_.append(len(seen) - len(content_nodes))
+                content.append("\n".join(page[2][i] for i in content_nodes))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int32()), pa.array(constant_, pa.int32()), pa.array(content, pa.string())], ["page_id", "host", "n_texts", "n_template", "content"])
 
-    return raw.join(template, "host").select("id", "host", "html", "ref", "fixed").mapInArrow(split, "page_id long, host string, n_texts int, n_template int, content string")
+    joined = parsed.join(template, ["host", "layout"]).select("id", "host", "tree", "ref", "fixed_layout", "fixed_lang", "fixed_host")
+    return joined.mapInArrow(split, "page_id long, host string, n_texts int, n_template int, content string")
