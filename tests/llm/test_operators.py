@@ -220,6 +220,33 @@ def test_notices(spark, empty):
     assert license.notices(empty).count() == 0
 
 
+def test_published_notices():
+    def header(kind, version, program="program"):
+        return f"""/*
+ * This {program} is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {kind} Public License as published by
+ * the Free Software Foundation, either version {version} of the License, or
+ * (at your option) any later version.
+ */"""
+
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cases = [
+        (header("General", "3"), ["GPL-3.0"]), (header("General", "2").replace(":", ";").replace(", either", "; either"), ["GPL-2.0"]), (header("Lesser General", "2.1", "library"), ["LGPL-2.1"]),
+        (header("Lesser General", "3"), ["LGPL-3.0"]), (header("Affero General", "3"), ["AGPL-3.0"]), (header("General", "7"), []),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0"]),
+        ("under the Creative Commons Attribution 4.0 International License", ["CC-BY-4.0"]), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", ["CC-BY-NC-SA-4.0"]),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0"]), ("# SPDX-License-Identifier: MIT", ["MIT"]), ("# SPDX-License-Identifier: CC-BY-SA-4.0", ["CC-BY-SA-4.0"]),
+        (bsd, ["BSD-2-Clause"]), (bsd + "\n" + third, ["BSD-3-Clause"]), (bsd + "\n" + third + "\n" + bsd, ["BSD-2-Clause", "BSD-3-Clause"]),
+    ]
+    t = license.compiled()
+    ix = license.index(t, t.vocabulary, np.zeros(len(t.vocabulary), np.int64))
+    got = license.find(t, ix, pa.array([x for x, _ in cases], pa.large_string()))
+    assert [sorted(t.names[i] for row, i, *_ in got if row == k) for k in range(len(cases))] == [want for _, want in cases]
+
+
 def test_notices_equal_brute_force(spark):
     rng = random.Random(10)
     t = license.compiled()

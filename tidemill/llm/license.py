@@ -7,6 +7,9 @@ n - ceil(coverage n) + 1 rarest words on that alignment: only those words are in
 Every file looks up all of its words in that index; its hits vote for (template, file position - template position); alignments with
 a vote within `slack` are verified over the whole notice.
 
+The notices: the published headers of files of the GNU licences, SPDX tags (of an expression, its first licence), the names of Creative Commons
+licences with hyphens as published, and one sentence or phrase each of the others.
+
 Cases: null or empty texts hold no notice; a notice that occurs several times is reported once for each place;
 repeated rows are each scanned; of templates that both match at one place both are reported; extra columns are ignored; with an empty
 table every word is equally rare and there is no row; texts of any length are scanned whole.
@@ -27,6 +30,7 @@ from .shared import ident
 from .words import pieces, words
 
 COVERAGE, SLACK = 0.8, 4
+BSD_WORDS = 250  #: how far the last clause of BSD-3-Clause is from its beginning at most
 
 #: (licence, notice, mandatory phrases)
 TEMPLATES: list[tuple[str, str, list[str]]] = [
@@ -35,19 +39,62 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license version 3"]),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license version 2"]),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3", ["gnu lesser general public license"]),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3", ["gnu affero general public license"]),
+    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3", ["gnu lesser general public license version 3"]),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3", ["gnu affero general public license version 3"]),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
     ("CC-BY-4.0", "Licensed under CC BY 4.0", ["cc by 4 0"]),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0", ["cc0 1 0"]),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license v 2 0"]),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    # the published file headers, up to their versions, with "or any later version" and without
+    ("GPL-3.0", "is free software you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License", ["gnu general public license as published by the free software foundation", "either version 3 of the license"]),
+    ("GPL-3.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3", ["gnu general public license as published by the free software foundation version 3"]),
+    ("GPL-3.0", "redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", ["gnu general public license version 3 as published by"]),
+    ("GPL-2.0", "is free software you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ["gnu general public license as published by the free software foundation", "either version 2 of the license"]),
+    ("GPL-2.0", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2", ["gnu general public license as published by the free software foundation version 2"]),
+    ("GPL-2.0", "redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", ["gnu general public license version 2 as published by"]),
+    ("LGPL-3.0", "is free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License", ["gnu lesser general public license as published by the free software foundation", "either version 3 of the license"]),
+    ("LGPL-3.0", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3", ["gnu lesser general public license as published by the free software foundation version 3"]),
+    ("LGPL-3.0", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation", ["gnu lesser general public license version 3 as published by"]),
+    ("LGPL-2.1", "is free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ["gnu lesser general public license as published by the free software foundation", "either version 2 1 of the license"]),
+    ("LGPL-2.1", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1", ["gnu lesser general public license as published by the free software foundation version 2 1"]),
+    ("LGPL-2.1", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation", ["gnu lesser general public license version 2 1 as published by"]),
+    ("LGPL-2.0", "is free software you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", ["gnu library general public license as published by the free software foundation", "either version 2 of the license"]),
+    ("LGPL-2.0", "redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation, version 2", ["gnu library general public license as published by the free software foundation version 2"]),
+    ("LGPL-2.0", "redistribute it and/or modify it under the terms of the GNU Library General Public License version 2 as published by the Free Software Foundation", ["gnu library general public license version 2 as published by"]),
+    ("AGPL-3.0", "is free software you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License", ["gnu affero general public license as published by the free software foundation", "either version 3 of the license"]),
+    ("AGPL-3.0", "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3", ["gnu affero general public license as published by the free software foundation version 3"]),
+    ("AGPL-3.0", "redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation", ["gnu affero general public license version 3 as published by"]),
+    # Creative Commons by their long names
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", ["creative commons attribution noncommercial sharealike 4 0"]),
+    ("CC-BY-NC-SA-3.0", "Creative Commons Attribution-NonCommercial-ShareAlike 3.0", ["creative commons attribution noncommercial sharealike 3 0"]),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", ["creative commons attribution noncommercial noderivatives 4 0"]),
+    ("CC-BY-NC-ND-3.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 3.0", ["creative commons attribution noncommercial noderivatives 3 0"]),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", ["creative commons attribution noncommercial 4 0"]),
+    ("CC-BY-NC-3.0", "Creative Commons Attribution-NonCommercial 3.0", ["creative commons attribution noncommercial 3 0"]),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0", ["creative commons attribution sharealike 4 0"]),
+    ("CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike 3.0", ["creative commons attribution sharealike 3 0"]),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0", ["creative commons attribution noderivatives 4 0"]),
+    ("CC-BY-ND-3.0", "Creative Commons Attribution-NoDerivatives 3.0", ["creative commons attribution noderivatives 3 0"]),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0", ["creative commons attribution 4 0"]),
+    ("CC-BY-3.0", "Creative Commons Attribution 3.0", ["creative commons attribution 3 0"]),
+    ("CC0-1.0", "Creative Commons Zero v1.0 Universal", ["creative commons zero v1 0 universal"]),
+    ("CC0-1.0", "CC0 1.0 Universal", ["cc0 1 0 universal"]),
+    # the clause that BSD-2-Clause lacks: where it follows the common beginning, both are one notice
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without written permission", ["all rights reserved"]),
 ]
 
+#: SPDX tags: the words of the tag itself, all in a row
+_SPDX = (
+    "MIT Apache-2.0 GPL-3.0 GPL-2.0 LGPL-3.0 LGPL-2.1 LGPL-2.0 AGPL-3.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 "
+    "CC0-1.0 BSD-2-Clause BSD-3-Clause MPL-2.0 ISC Unlicense"
+).split()  # "-only", "-or-later" and "+" may follow
+TEMPLATES += [(x, f"SPDX-License-Identifier: {x}", ["spdx license identifier " + x.lower().replace("-", " ").replace(".", " ")]) for x in _SPDX]
+
 
 @dataclass
 class Templates:
@@ -165,8 +212,13 @@ def find(t: Templates, ix: Index, column: pa.Array, coverage: float = COVERAGE,
     at = np.repeat(at, count)
     first = w.first
     tried = sorted({(int(w.row[a]), int(i), int(a - first[w.row[a]] - p)) for a, i, p in zip(at, ix.template[post], ix.pos[post])})
-    out: list[tuple[int, int, int, int, float]] = []
+    # a vote may be up to slack off the alignment; within twice that it must find enough words
+    near_votes: set[tuple[int, int, int]] = set()
     for row, i, start in tried:
+        if _aligned(t.hashes[i], w.hash[first[row] : first[row + 1]], start, 2 * slack)[0] >= math.ceil(coverage * len(t.hashes[i])):
+            near_votes.update((row, i, s) for s in range(start - slack, start + slack + 1))
+    out: list[tuple[int, int, int, int, float]] = []
+    for row, i, start in sorted(near_votes):
         own = w.hash[first[row] : first[row + 1]]
         n, a, z = _aligned(t.hashes[i], own, start, slack)
         if n < math.ceil(coverage * len(t.hashes[i])):
@@ -180,6 +232,21 @@ def find(t: Templates, ix: Index, column: pa.Array, coverage: float = COVERAGE,
                 out[-1] = found
         else:
             out.append(found)
+    return _one_bsd(t, out)
+
+
+def _one_bsd(t: Templates, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """BSD-3-Clause begins as BSD-2-Clause does: where its last clause follows, they are one notice of BSD-3-Clause."""
+    out: list[tuple[int, int, int, int, float]] = []
+    begun: tuple | None = None
+    for x in sorted(found, key=lambda x: (x[0], x[2])):
+        name = t.names[x[1]]
+        if name == "BSD-2-Clause":
+            begun = x
+        elif name == "BSD-3-Clause" and begun and begun[0] == x[0] and x[2] - begun[3] <= BSD_WORDS:
+            out.remove(begun)
+            x, begun = (x[0], x[1], begun[2], x[3], min(begun[4], x[4])), None
+        out.append(x)
     return out
 
 
