@@ -105,6 +105,12 @@ def test_spotsigs_equals_brute_force(docs, corpus, empty):
     assert spotsigs.near_pairs(empty).count() == 0
 
 
+def test_spotsigs_links_exact_copies_without_signatures(spark):
+    rows = [(5, "Some junk"), (2, "some, JUNK!"), (9, "junk some"), (7, "some junk"), (1, ""), (3, ""), (4, None), (6, "..."), (8, "..."), (None, "some junk"), (2, "some junk"), (10, "some junk here")]
+    got = spotsigs.near_pairs(spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_a, r.doc_b, r.jaccard) for r in got) == [(2, 5, 1.0), (2, 7, 1.0)]
+
+
 # 8
 def brute_repeats(rows, least):
     w = words.words(pa.array([t for _, t in rows], pa.large_string()))

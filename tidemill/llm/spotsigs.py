@@ -12,13 +12,15 @@ LEAD least members, if less than the group's, are left to that one's group.  Mem
 pair counts where the group's member is the least that both share, so nothing is reported twice.
 Postings travel as packed arrays, one for each target partition, not as rows.
 
-Cases: null texts and texts without a signature are in no pair, nor are rows without an id; repeated rows of an id pair with nobody but
+Cases: null texts and texts without a word are in no pair, nor are rows without an id; texts without a signature pair only with those of
+the same sequence of words, with Jaccard 1: near copies among them are out of the method's reach; repeated rows of an id pair with nobody but
 others; equal sets have Jaccard 1, and are linked to the least id among them (n - 1 rows for n copies), for which pairs with other sets are
 given; extra columns are ignored; an empty table has no pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -198,6 +200,19 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             full = pa.array(np.diff(off) > 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(_set_hash(off, members).view(np.int64))], ["id", "h"]).filter(full)
 
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of texts without a signature, the hash of the sequence of words."""
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                off, _ = signatures(b.column(1), anchors, chain)
+                at = np.flatnonzero(np.diff(off) == 0)
+                own = b.take(pa.array(at))
+                w = words(own.column(1))
+                first = w.first
+                some = np.flatnonzero(np.diff(first))
+                key = [hashlib.blake2b(w.hash[first[k] : first[k + 1]].tobytes(), digest_size=16).digest() for k in some]
+                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(some)), pa.array(key, pa.binary())], ["id", "h"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, off, members in sets(batches):
             rec = _postings(off, members, threshold)
@@ -242,4 +257,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = joined.repartition(n_parts, "sig").mapInArrow(verify, "ha long, hb long, jaccard double")
     named = found.join(reps.withColumnsRenamed({"h": "ha", "rep": "a"}), "ha").join(reps.withColumnsRenamed({"h": "hb", "rep": "b"}), "hb")
     same = ids.join(reps, "h").where("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    return named.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard").unionByName(same)
+    alone = written(narrow.mapInArrow(bare, "id long, h binary"))
+    first = alone.groupBy("h").agg(F.min("id").alias("rep"))
+    exact = alone.join(first, "h").where("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    return named.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard").unionByName(same).unionByName(exact)
