@@ -1,10 +1,11 @@
 """Byte-level BPE: encoding and decoding with a public vocabulary of ranks.
 
-Encoding: whole texts are cut into words by the vocabulary's pattern; the distinct words of a block of texts become one row; Spark
-higher-order functions fold the ranked merges over the byte array of each distinct word; the words' ids are then laid out
-along the texts.  The rank map is a literal: sparse rows of a matrix displaced into one array of longs, so a look-up is two array reads.
-A pair (a, b) of token ids maps to the id of the joined token, whose id is its rank.  No shuffle and nothing broadcast that
-grows with the corpus.  Words over LONG bytes, for which a fold's copying would be quadratic, are merged by a heap, with equal results.
+Encoding: whole texts are cut into words by the vocabulary's pattern; the COMMON words of a sample are folded once for all
+tasks; a task numbers its other distinct words as they come (anew after KNOWN of them), and sends each once; Spark higher-order functions fold the ranked merges over the byte array of each; the words' ids are then laid
+out along the texts.  The rank map is a literal: sparse rows of a matrix displaced into one array of longs, so a look-up is two array reads.
+A pair (a, b) of token ids maps to the id of the joined token, whose id is its rank.  A row holds about BLOCK_BYTES of text and at
+most ROW_WORDS words, so memory doesn't follow the size of a partition.  The texts are not shuffled, and nothing broadcast grows with the corpus.
+Words over LONG bytes, for which a fold's copying would be quadratic, are merged by a heap, with equal results.
 
 Decoding: ids are mapped to their binary pieces by a literal array, and the pieces are concatenated.
 
@@ -17,20 +18,25 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident
+from .shared import ident, lean, parts, written
 from .words import pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG, BLOCK_BYTES = 256, 12 << 20
+LONG, BLOCK_BYTES, ROW_WORDS, KNOWN = 256, 1 << 20, 1 << 15, 300_000
+COMMON, SAMPLE_BYTES = 300_000, 64 << 20  #: words folded once for all tasks, and the bytes of text in which they are looked for
 _BITS, _EMPTY = 21, 1 << 62
+_NONE = (1 << _BITS) - 1
 
 
 def load(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -39,6 +45,13 @@ def load(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(2)
+def _loaded(path: str):
+    """(ranks, folder) of a vocabulary; made once for a driver."""
+    ranks = load(path)
+    return ranks, folder(ranks)
+
+
 def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     """(id, id) -> id of the joined token, for every split of every token."""
     return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
@@ -91,44 +104,73 @@ def _longs(values) -> Column:
 
 
 def folder(ranks: dict[bytes, int]):
-    """The literal rank map, and a function from it and the byte array of a word to the word's token ids: a fold of the ranked merges.
+    """The literal rank map, and a function from it and the byte array of a word to the word's items: a fold of the ranked merges.
 
+    The byte array is that of `bigrams`: each cell holds a byte and the one after it.  An item is a token of the word so far: the id that it
+    would have if merged with the next one, its place, and its own id, 21 bits each, so the least item is the leftmost pair of the least rank.
     The map is large, so an expression should hold it once: bind it to a lambda variable, as `encode` does.
     """
     n_ids = max(ranks.values()) + 1
-    offset, table = displaced(merges(ranks), n_ids)
-    literal = F.struct(_longs(offset).alias("offset"), _longs(table).alias("table"))
-    first = _longs([ranks[bytes([i])] for i in range(256)])
-    guard, past, most = F.lit(n_ids).cast("long"), F.lit(1 << _BITS).cast("long"), F.lit(1 << 30)
+    assert n_ids < _NONE
+    pairs = merges(ranks)
+    offset, table = displaced(pairs, n_ids)
+    own = [ranks[bytes([i])] for i in range(256)]
+    first = [(pairs.get((a, b), _NONE) << 2 * _BITS) | a for a in own for b in own]
+    first += [(_NONE << 2 * _BITS) | a for a in [*own, n_ids]]  # the last byte of a word, and the guard
+    literal = F.struct(_longs(offset).alias("offset"), _longs(table).alias("table"), _longs(first).alias("first"))
+    none, past = F.lit(_NONE).cast("long"), F.lit(_NONE << 2 * _BITS).cast("long")
 
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), 0)
 
     def rank(m: Column, a: Column, b: Column) -> Column:
-        """The id of a + b; where they don't merge, something from 2**21 on."""
-        return F.get(m["table"], F.get(m["offset"], a) + b).bitwiseXOR(F.shiftleft(a, _BITS))
+        """The id of a + b, or _NONE."""
+        return F.least(F.get(m["table"], F.get(m["offset"], a) + b).bitwiseXOR(F.shiftleft(a, _BITS)), none)
+
+    def id_of(item: Column) -> Column:
+        return item.bitwiseAND(none)
+
+    def merge(m: Column, items: Column) -> Column:
+        def at_(low: Column) -> Column:
+            def join(at: Column) -> Column:  # the guards make sure that the pair has neighbours
+                joined = F.shiftright(low, 2 * _BITS)
 
-    def state(ids: Column, ranks_: Column) -> Column:
-        return let(F.struct(ids.alias("ids"), ranks_.alias("ranks")), lambda x: F.struct(x["ids"].alias("ids"), x["ranks"].alias("ranks"), F.array_min(x["ranks"]).alias("low")))
+                def beside(before: Column) -> Column:
+                    left = F.shiftleft(rank(m, id_of(before), joined), 2 * _BITS) + before.bitwiseAND(F.lit((1 << 2 * _BITS) - 1).cast("long"))
+                    right = F.shiftleft(rank(m, joined, id_of(F.get(items, at + 1))), 2 * _BITS) + low.bitwiseAND(F.lit(_NONE << _BITS).cast("long")) + joined
+                    # items differ by their place, so each is removed alone; slices would be slower
+                    rest = F.array_remove(F.array_remove(F.array_remove(items, low), before), F.get(items, at))
+                    return F.array_insert(F.array_insert(rest, at - 1, right), at - 1, left)
 
-    def merge(m: Column, acc: Column) -> Column:
-        ids, ranks_, low = acc["ids"], acc["ranks"], acc["low"]
+                return let(F.get(items, at - 2), beside)
 
-        def at_(at: Column) -> Column:  # the leftmost pair of the least rank; the guards make sure that it has neighbours
-            new_ids = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, most))
-            beside = F.array(rank(m, F.get(ids, at - 2), low), rank(m, low, F.get(ids, at + 1)))
-            return state(new_ids, F.concat(F.slice(ranks_, F.lit(1), at - 2), beside, F.slice(ranks_, at + 2, most)))
+            return F.when(low >= past, items).otherwise(let(F.array_position(items, low).cast("int"), join))
 
-        return F.when(low >= past, acc).otherwise(let(F.array_position(ranks_, low).cast("int"), at_))
+        return let(F.array_min(items), at_)
 
     def of(m: Column, word: Column) -> Column:
-        ids = F.concat(F.array(guard), F.transform(word, lambda c: F.get(first, c)), F.array(guard))
-        start = let(ids, lambda x: state(x, F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), most), lambda a, b: rank(m, a, b))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(word)), start, lambda acc, _: merge(m, acc), lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
+        start = F.transform(word, lambda c, i: F.get(m["first"], c) + F.shiftleft(i.cast("long"), _BITS))
+        return F.aggregate(F.slice(word, F.lit(3), F.lit(1 << 30)), start, lambda items, _: merge(m, items))
 
     return literal, of
 
 
+def bigrams(words_: list[bytes]) -> pa.ListArray:
+    """The byte array of each word for the fold: a guard, each byte with the next one, the last byte, a guard; empty for an empty word."""
+    flat = np.frombuffer(b"".join(words_), np.uint8).astype(np.int32)
+    size = np.fromiter(map(len, words_), np.int64, len(words_))
+    full = size > 0
+    edge = np.concatenate([[0], np.cumsum(size + 2 * full)])
+    out = np.full(edge[-1], 65536 + 256, np.int32)
+    place = np.arange(len(flat)) + np.repeat(edge[:-1] + 1 - (np.cumsum(size) - size), size)
+    code = np.empty(len(flat), np.int32)
+    code[:-1] = flat[:-1] * 256 + flat[1:]
+    last = np.cumsum(size)[full] - 1
+    code[last] = 65536 + flat[last]
+    out[place] = code
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(out))
+
+
 def heap_encode(word: bytes, pairs: dict[tuple[int, int], int], ranks: dict[bytes, int]) -> list[int]:
     """Token ids of a word of any length, in n log n time: the leftmost pair of the least rank merges first."""
     ids = [ranks[word[i : i + 1]] for i in range(len(word))]
@@ -151,104 +193,162 @@ def heap_encode(word: bytes, pairs: dict[tuple[int, int], int], ranks: dict[byte
     return [x for x in ids if x >= 0]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, long: int) -> Iterator[pa.RecordBatch]:
-    """One row a block: ids and check sums of its texts, the distinct words, and the index of each word of each text."""
+def _flat(words_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids) of the words of an array of folded items, without the guards."""
+    edge = words_.offsets.to_numpy().astype(np.int64)
+    ranked = words_.values.to_numpy(zero_copy_only=False)[edge[0] : edge[-1]] & _NONE
+    edge -= edge[0]
+    inner = np.ones(len(ranked), bool)
+    full = np.flatnonzero(np.diff(edge))
+    inner[edge[full]] = inner[edge[full + 1] - 1] = False
+    return ranked[inner].astype(np.int32), np.maximum(np.diff(edge) - 2, 0)
+
+
+def common(narrow: DataFrame, vocabulary: str, pattern: str, long: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, ids, number of ids) of at most COMMON words that are common in about SAMPLE_BYTES of the texts, folded once for all tasks.
+
+    It only saves time: words that are not here are folded by the tasks that meet them.
+    """
+    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = round(100_000 * min(1.0, SAMPLE_BYTES / max(total, 1)))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, found = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(find(text))
+        some = [w for w, n in found.items() if len(w) * 4 <= long]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([found[w] for w in some], pa.int64())], ["word", "n"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 1 << 12):
+                own = batch.column(0).slice(a, 1 << 12)
+                cells = own, bigrams([w.encode() for w in own.to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in cells], ["text", "words"])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, items in zip(batch.column(0), batch.column(1)):
+                cells = text.values, *map(pa.array, _flat(items.values))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in cells], ["text", "ids", "n"])
+
+    sample = narrow.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(100_000)) < share).select("text")
+    top = written(sample.mapInArrow(lean(counts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word"))
+    folded = top.repartition(parts(narrow.sparkSession)).mapInArrow(rows, "text array<string>, words array<array<int>>").select("text", _folded(vocabulary).alias("items"))
+    got = folded.mapInArrow(flat, "text array<string>, ids array<int>, n array<long>").toArrow()
+    text, ids, n = (pa.concat_arrays([c.flatten() for c in got[k].chunks]) if len(got) else pa.array([], kind) for k, kind in (("text", pa.string()), ("ids", pa.int32()), ("n", pa.int64())))
+    return text, ids.to_numpy(), n.to_numpy()
+
+
+def _folded(vocabulary: str) -> Column:
+    literal, fold = _loaded(vocabulary)[1]
+    return F.get(F.transform(F.array(literal), lambda m: F.transform("words", lambda w: fold(m, w))), 0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, long: int, base: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of some texts each: their ids and check sums, the words that are new in this task, and the number of each word of each text.
+
+    The numbers start anew where `fresh` is set, so neither side of the fold holds more than KNOWN words and those of one text.
+    """
     import regex
 
     find = regex.compile(pattern).findall
-    kind = pa.schema([("id", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("words", pa.list_(pa.list_(pa.int16()))), ("long", pa.list_(pa.binary())), ("at", pa.binary())])
-
-    def block(rows: list) -> pa.RecordBatch:
-        known: dict[str, int] = {}
-        ids, crcs, counts, at = [], [], [], []
-        for i, text in rows:
-            ids.append(i)
-            if text is None:
-                crcs.append(None), counts.append(None)
-                continue
-            found = find(text)
-            crcs.append(zlib.crc32(text.encode())), counts.append(len(found))
-            get = known.setdefault
-            at.append(np.fromiter((get(w, len(known)) for w in found), np.int32, len(found)))
-        flat = np.concatenate(at) if at else np.zeros(0, np.int32)
-        words = [w.encode() for w in known]
-        big = [w if len(w) > long else None for w in words]
-        own = [b"" if x else w for w, x in zip(words, big)]
-        arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.frombuffer(b"".join(own), np.uint8).astype(np.int16)))
+    kind = pa.schema([("fresh", pa.bool_()), ("id", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("words", pa.list_(pa.list_(pa.int32()))), ("long", pa.list_(pa.binary())), ("at", pa.binary())])
+    first = dict(zip(base.to_pylist(), range(len(base))))
+    known = first.copy()
+    fresh = True
+
+    def row(words_: list[str], ids: list, crcs: list, counts: list, at: bytes) -> pa.RecordBatch:
+        nonlocal fresh
+        own = [w.encode() for w in words_]
+        big = [w if len(w) > long else None for w in own]
+        arrays = bigrams([b"" if x else w for w, x in zip(own, big)])
         whole = pa.ListArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), arrays)
-        small = [pa.array([x], t.type) for x, t in zip((ids, crcs, counts, big if any(big) else [], flat.tobytes()), (kind.field(c) for c in ("id", "crc", "n", "long", "at")))]
-        return pa.RecordBatch.from_arrays([*small[:3], whole, *small[3:]], schema=kind)
+        cells = [pa.array([x], kind.field(c).type) for x, c in ((fresh, "fresh"), (ids, "id"), (crcs, "crc"), (counts, "n"), (big if any(big) else [], "long"), (at, "at"))]
+        fresh = False
+        return pa.RecordBatch.from_arrays([*cells[:4], whole, *cells[4:]], schema=kind)
 
-    rows, size = [], 0
     for batch in batches:
-        for b in pieces(batch, "text"):
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.append((i, text))
-                size += len(text or "") + 8
-            if size > BLOCK_BYTES:
-                yield block(rows)
-                rows, size = [], 0
-    if rows:
-        yield block(rows)
+        for b in pieces(batch, "text", BLOCK_BYTES):
+            if len(known) - len(first) > KNOWN:
+                known, fresh = first.copy(), True
+            before, get = len(known), known.setdefault
+            crcs, counts, at = [], [], []
+            for text in b.column(1).to_pylist():
+                found = find(text) if text else []
+                crcs.append(None if text is None else zlib.crc32(text.encode())), counts.append(None if text is None else len(found))
+                at.append(np.fromiter((get(w, len(known)) for w in found), np.int32, len(found)))
+            new = list(islice(known, before, None))
+            while len(new) > ROW_WORDS:
+                yield row(new[:ROW_WORDS], [], [], [], b"")
+                del new[:ROW_WORDS]
+            yield row(new, b.column(0).to_pylist(), crcs, counts, pa.compress(np.concatenate(at).tobytes(), codec="lz4", asbytes=True))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, long: int = LONG) -> DataFrame:
     """(doc_id, ids, n_tokens, crc): the token ids of every row's text, and the CRC-32 of its bytes."""
-    ranks = load(vocabulary)
-    literal, fold = folder(ranks)
+    ranks, _ = _loaded(vocabulary)
+    narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
+    base = docs.sparkSession.sparkContext.broadcast(common(narrow, vocabulary, pattern, long))  # at most COMMON words
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: its size doesn't depend on the corpus
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = None
+        _, ids_0, size_0 = base.value
+        flat, begin, size = ids_0, np.cumsum(size_0) - size_0, size_0
         for batch in batches:
             for k in range(len(batch)):
-                ids, crc, n, at = (batch.column(c)[k] for c in range(4))
-                words = batch.column(4)[k].values
-                size = np.diff(words.offsets.to_numpy()).astype(np.int64)
-                begin = words.offsets.to_numpy()[:-1].astype(np.int64)
-                flat = words.values.to_numpy(zero_copy_only=False)
-                rest = batch.column(5)[k].values
-                own = np.flatnonzero(rest.is_valid().to_numpy(zero_copy_only=False)) if len(rest) else []
-                if len(own):  # long words
+                fresh, ids, crc, n, at = (batch.column(c)[k] for c in range(5))
+                if fresh.as_py():
+                    flat, begin, size = ids_0, np.cumsum(size_0) - size_0, size_0
+                own, sizes = _flat(batch.column(5)[k].values)
+                starts = len(flat) + np.cumsum(sizes) - sizes
+                rest = batch.column(6)[k].values
+                big = np.flatnonzero(rest.is_valid().to_numpy(zero_copy_only=False)) if len(rest) else []
+                if len(big):  # long words
                     pairs = pairs or merges(shared.value)
-                    more = [np.array(heap_encode(rest[int(i)].as_py(), pairs, shared.value), flat.dtype) for i in own]
-                    begin[own] = len(flat) + np.concatenate([[0], np.cumsum([len(x) for x in more])[:-1]]).astype(np.int64)
-                    size[own] = [len(x) for x in more]
-                    flat = np.concatenate([flat, *more])
-                at = np.frombuffer(at.as_py(), np.int32)
-                counts = np.array([0 if x is None else x for x in n.as_py()], np.int64)
+                    more = [np.array(heap_encode(rest[int(i)].as_py(), pairs, shared.value), np.int32) for i in big]
+                    starts[big] = len(flat) + len(own) + np.concatenate([[0], np.cumsum([len(x) for x in more])[:-1]]).astype(np.int64)
+                    sizes[big] = [len(x) for x in more]
+                    own = np.concatenate([own, *more])
+                flat, begin, size = np.concatenate([flat, own]), np.concatenate([begin, starts]), np.concatenate([size, sizes])
+                if not len(ids.values):
+                    continue
+                null = n.values.is_null().to_numpy(zero_copy_only=False)
+                counts = n.values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 edge = np.concatenate([[0], np.cumsum(counts)])
-                step = 1 << 20
-                low = 0
-                ids, crc, null = ids.values, crc.values, np.array([x is None for x in n.as_py()], bool)
+                at = np.frombuffer(pa.decompress(at.as_py(), 4 * int(edge[-1]), codec="lz4", asbytes=True), np.int32)
+                ids, crc = ids.values, crc.values
+                step, low = 1 << 20, 0
                 while low < len(counts):  # some texts at a time
                     high = max(low + 1, int(np.searchsorted(edge, edge[low] + step, "right")) - 1)
                     high = min(high, len(counts))
                     w = at[edge[low] : edge[high]]
                     s = size[w]
                     total = np.concatenate([[0], np.cumsum(s)])
-                    tokens = flat[np.repeat(begin[w] - total[:-1], s) + np.arange(total[-1])].astype(np.int32)
+                    tokens = flat[np.repeat(begin[w] - total[:-1], s) + np.arange(total[-1])]
                     offsets = total[edge[low : high + 1] - edge[low]].astype(np.int32)
                     made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens), mask=pa.array(null[low:high]))
                     number = pa.array(np.diff(offsets).astype(np.int32), mask=null[low:high])
                     yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), made, number, crc.slice(low, high - low)], ["doc_id", "ids", "n_tokens", "crc"])
                     low = high
 
-    narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
-    blocks = narrow.mapInArrow(lambda it: _blocks(it, pattern, long), "id array<long>, crc array<long>, n array<int>, words array<array<smallint>>, long array<binary>, at binary")
+    blocks = narrow.mapInArrow(lean(lambda it: _blocks(it, pattern, long, base.value[0])), "fresh boolean, id array<long>, crc array<long>, n array<int>, words array<array<int>>, long array<binary>, at binary")
     # a word over `long` bytes has an empty array here
-    tokens = F.get(F.transform(F.array(literal), lambda m: F.transform("words", lambda w: F.when(F.size(w) > 0, fold(m, w)).otherwise(F.array().cast("array<bigint>")))), 0)
-    return blocks.select("id", "crc", "n", "at", tokens.alias("tokens"), "long").mapInArrow(lay_out, "doc_id long, ids array<int>, n_tokens int, crc long")
+    return blocks.select("fresh", "id", "crc", "n", "at", _folded(vocabulary).alias("items"), "long").mapInArrow(lean(lay_out), "doc_id long, ids array<int>, n_tokens int, crc long")
 
 
 def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
-    """The bytes of a column of token ids: the concatenation of their binary pieces."""
-    ranks = load(vocabulary)
+    """The bytes of a column of token ids: the concatenation of their binary pieces, each held as a string of Latin-1."""
+    ranks, _ = _loaded(vocabulary)
     by_id = [""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
-        by_id[r] = token.hex()
-    pieces_ = F.split(F.lit(",".join(by_id)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces_, i + 1)), ""))
+        by_id[r] = token.decode("latin-1")
+    pieces_ = F.split(F.lit("\u0100".join(by_id)), "\u0100")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(pieces_, i + 1)), ""), "ISO-8859-1")
 
 
 def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

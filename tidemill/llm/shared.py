@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +47,24 @@ def parts(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small(df: DataFrame, limit: int) -> list | None:
-    """All rows of df if they are at most `limit`, else None; never more than limit + 1 rows reach the driver."""
-    got = df.limit(limit + 1).collect()
-    return got if len(got) <= limit else None
+def release() -> None:
+    """Gives this process's free memory back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """run, after which the Python worker gives its free memory back: workers are kept for later stages, which need it."""
+
+    def then(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return then
 
 
 def ident(name: str):
@@ -57,4 +75,4 @@ def ident(name: str):
 def map_rows(df: DataFrame, run) -> DataFrame:
     """df with its batches mapped by run to batches of the same columns; names with dots, or twice, do no harm."""
     safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return safe.mapInArrow(run, safe.schema).toDF(*df.columns)
+    return safe.mapInArrow(lean(run), safe.schema).toDF(*df.columns)
