@@ -45,10 +45,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_a, doc_b, hamming): all near copies."""
-    from .simhash import near_pairs
+    """(doc_id, class_id, n_links) of every document: its group of near copies, and the number of its near copies."""
+    from .simhash import near_classes
 
-    return near_pairs(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:

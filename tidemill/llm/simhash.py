@@ -5,19 +5,23 @@ documents are near copies when their fingerprints differ in at most `radius` bit
 distinct words have a ratio of at least `ratio`.
 
 Plan: equal (fingerprint, size) points collapse first, so a group of thousands of copies is one point.
-Points then go to radius + 1 shards, one per block of the fingerprint: by the pigeonhole principle a pair
-within `radius` agrees in a block, so the shards overlap exactly where they have to.  In a shard, points
+The fingerprint is cut into radius + k blocks: by the pigeonhole principle a pair within `radius` agrees in k of them, so
+points go to one shard for every choice of k blocks, and the shards overlap exactly where they have to.  k is the least for which an even
+shard has at most SHARD points: shards get finer as the corpus grows, with the same result.  A shard that is fuller than that (many points
+agree in its blocks) is parted by a hash of the point, and any two of its parts meet in a cell of their own.  In a cell, points
 are parted by size band and joined by a vantage-point tree: distances to a vantage point split a set
 at their median, and only the rings within `radius` of the boundary are compared across (triangle bound).
-A pair is reported by the first block in which it agrees, so no distinct is needed.  The result is exact.
+A pair counts in the first shard in which it agrees.  Pairs are not written: a cell keeps a forest of them, and a
+count of each point's links, so what leaves it has a row a point however many are near each other.  The result is exact.
 
-Cases: null texts and texts without words have no fingerprint and are never near copies; null ids
-take no part in pairs or groups; repeated rows and ties collapse into one point (distance 0); extra columns are
-ignored by the pair functions, and kept by `dedup`, which never adds a column; an empty table gives an empty result.
+Cases: null texts and texts without words have no fingerprint and are linked with nothing; rows with a null id
+take no part; repeated rows and ties collapse into one point, and rows of one id are one document; very long texts are read whole; extra
+columns are ignored, and kept by `dedup`, which never adds a column; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, ident, parts, written
+from .groups import Forest, per_document
+from .shared import ident, lean, parts, written
 from .words import mix, pieces, words
 
-RADIUS, RATIO, LEAF = 9, 0.8, 512
+RADIUS, RATIO, LEAF, SHARD = 9, 0.8, 512, 1 << 17
 
 
 #: Byte value -> its bits, one in each byte of a 64-bit word: sums of up to 255 of them don't overflow.
@@ -59,30 +64,27 @@ def fingerprint(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, size) of every row with an id and at least one word; repeated rows stay repeated."""
+    """(id, fp, size) of every row with an id; fp and size are null for a text without words; repeated rows stay repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, "text"):
                 w = words(b.column(1))
                 fp, size = fingerprint(w.hash, w.row, w.rows)
-                keep = pa.array(size > 0)
-                out = pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32))], ["id", "fp", "size"])
-                yield out.filter(keep)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), mask=size == 0), pa.array(size.astype(np.int32), mask=size == 0)], ["id", "fp", "size"])
 
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text")).where("id is not null")
-    return narrow.mapInArrow(run, "id long, fp long, size int")
+    return narrow.mapInArrow(lean(run), "id long, fp long, size int")
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks that part the 64 bits."""
-    n = radius + 1
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of n blocks that part the 64 bits."""
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _brute(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: list) -> None:
-    """All pairs within r of a with itself (b None) or of a with b."""
+def _brute(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out) -> None:
+    """Calls out(i, j) with all pairs within r of a with itself (b None) or of a with b, some at a time."""
     other = a if b is None else b
     if not len(a) or not len(other):
         return
@@ -94,11 +96,11 @@ def _brute(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: lis
         if b is None:
             x, y = x[y > x], y[y > x]
         if len(x):
-            out.append((a[x], other[y]))
+            out(a[x], other[y])
 
 
-def vp_join(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: list, leaf: int = LEAF) -> None:
-    """Self join of a (b None), or join of a and b, by vantage points; appends index pairs within r to out."""
+def vp_join(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out, leaf: int = LEAF) -> None:
+    """Self join of a (b None), or join of a and b, by vantage points; calls out(i, j) with the index pairs within r."""
     todo = [(a, b)]
     while todo:
         a, b = todo.pop()
@@ -136,99 +138,94 @@ def _band(size: np.ndarray, ratio: float) -> np.ndarray:
     return np.floor(np.log(size) / -np.log(ratio)).astype(np.int64)
 
 
-def shard_pairs(fp: np.ndarray, size: np.ndarray, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of one shard that are near copies."""
-    out: list = []
-    if ratio <= 0:
-        vp_join(fp, np.arange(len(fp)), None, radius, out)
-    else:
-        band = _band(size, ratio)
-        order = np.argsort(band, kind="stable")
-        keys, at = np.unique(band[order], return_index=True)
-        groups = np.split(order, at[1:])
-        for n, g in enumerate(groups):
-            vp_join(fp, g, None, radius, out)
-            for m in range(n + 1, min(n + 3, len(groups))):  # rounding may part equal quotients by one band more
-                if keys[m] - keys[n] <= 2:
-                    vp_join(fp, g, groups[m], radius, out)
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-    ok = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-    return i[ok], j[ok]
-
-
-def near_points(points: DataFrame, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(a, b, hamming) with a < b for the distinct points (id, fp, size)."""
-    cut = blocks(radius)
-    shards = points.select(
-        "id", "fp", "size",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("v")) for k, (s, w) in enumerate(cut)])).alias("s"),
-    ).select("id", "fp", "size", (F.col("s.v") * len(cut) + F.col("s.k")).alias("shard"))
+def cell_pairs(fp: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float, out) -> None:
+    """Calls out(i, j) with the index pairs that are near copies: all of a cell (side None), or those with different sides."""
+
+    def good(i: np.ndarray, j: np.ndarray) -> None:
+        ok = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+        if ok.any():
+            out(i[ok], j[ok])
+
+    band = _band(size, ratio) if ratio > 0 else np.zeros(len(fp), np.int64)
+    order = np.argsort(band, kind="stable")
+    keys, at = np.unique(band[order], return_index=True)
+    groups = np.split(order, at[1:])
+    for n, g in enumerate(groups):
+        if side is None:
+            vp_join(fp, g, None, radius, good)
+        else:
+            vp_join(fp, g[side[g]], g[~side[g]], radius, good)
+        for m in range(n + 1, min(n + 3, len(groups))):  # rounding may part equal quotients by one band more
+            if keys[m] - keys[n] <= 2:
+                h = groups[m]
+                for a, b in [(g, h)] if side is None else [(g[side[g]], h[~side[h]]), (g[~side[g]], h[side[h]])]:
+                    vp_join(fp, a, b, radius, good)
+
+
+def agreeing(points: int, radius: int = RADIUS, shard: int = SHARD) -> int:
+    """The number k of agreeing blocks: the least for which an even shard has at most `shard` points."""
+    return next(k for k in range(1, 65 - radius) if k == 4 or points / 2 ** (64 * k / (radius + k)) <= shard)
+
+
+def links(points: DataFrame, radius: int = RADIUS, ratio: float = RATIO, agree: int | None = None, shard: int = SHARD) -> DataFrame:
+    """(id, root, n, fp, size): forests of the near pairs of the distinct points (id, copies, fp, size), and how many documents each is linked with."""
+    k = agree or agreeing(points.count(), radius, shard)
+    cut = blocks(radius + k)
+    chosen = list(itertools.combinations(range(len(cut)), k))
+
+    def value(own: tuple[int, ...]):  # the blocks of a choice, and its number, in one long
+        out = F.lit(0).cast("long")
+        for x in own:
+            s, w = cut[x]
+            out = F.shiftleft(out, w).bitwiseOR(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")))
+        return out
+
+    spread = points.select("*", F.posexplode(F.array(*[value(own) for own in chosen])).alias("choice", "value"))
+    full = spread.groupBy("choice", "value").count().where(F.col("count") > shard).select("choice", "value", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
+    full = written(full)  # at most one in `shard` of the spread points, and small enough to be broadcast in all but odd corpora
+    own = F.pmod(F.xxhash64("fp", "size"), F.col("parts")).cast("int")
+    cells = spread.join(full, ["choice", "value"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    cells = cells.select("id", "copies", "fp", "size", "choice", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") < F.col("other")).alias("side"))
     n = parts(points.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
         if not got:
             return
-        ids, fp, size, shard = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in range(4))
+        ids, copies, fp, size, choice, value, low, high, side = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in range(9))
         del got
         fp = fp.view(np.uint64)
-        order = np.argsort(shard, kind="stable")
-        keys, at = np.unique(shard[order], return_index=True)
-        for key, g in zip(keys, np.split(order, at[1:])):
-            k = int(key) % len(cut)
-            i, j = shard_pairs(fp[g], size[g], radius, ratio)
-            i, j = g[i], g[j]
-            x = fp[i] ^ fp[j]
-            first = np.ones(len(i), bool)
-            for s, w in cut[:k]:  # an earlier block reports the pair
-                first &= (x >> np.uint64(s)) & np.uint64((1 << w) - 1) != 0
-            i, j, x = i[first], j[first], x[first]
-            if len(i):
-                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.bitwise_count(x).astype(np.int16))], ["a", "b", "hamming"])
-
-    return shards.repartition(n, "shard").mapInArrow(run, "a long, b long, hamming short")
-
-
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(doc_a, doc_b, hamming), doc_a < doc_b: all near copies, in a lossless short form.
-
-    Documents with equal fingerprint and size are linked to the least id among them (distance 0);
-    pairs at a distance are given between those least ids.  So a group of n equal documents has n - 1 rows, not n(n-1)/2.
-    """
-    fps = written(fingerprints(docs, id_col, text_col))
-    points = fps.groupBy("fp", "size").agg(F.min("id").alias("id"))
-    same = fps.join(points.withColumnRenamed("id", "rep"), ["fp", "size"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).cast("short").alias("hamming")).distinct()
-    return near_points(points, radius, ratio).where("a <> b").unionByName(same).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "hamming")
+        order = np.lexsort((ids, high, low, value, choice))
+        new = np.zeros(len(order), bool)
+        for x in (choice, value, low, high):
+            y = x[order]
+            new[1:] |= y[1:] != y[:-1]
+        for g in np.split(order, np.flatnonzero(new)):
+            if len(g) < 2:
+                continue
+            own, f, forest = chosen[choice[g[0]]], fp[g], Forest(len(g))
+            masks = [np.uint64(((1 << w) - 1) << s) for b, (s, w) in enumerate(cut[: own[-1]]) if b not in own]
 
+            def out(i: np.ndarray, j: np.ndarray) -> None:
+                x, first = f[i] ^ f[j], np.ones(len(i), bool)  # noqa: B023
+                for mask in masks:  # noqa: B023
+                    first &= x & mask != 0  # else an earlier choice has the pair
+                if first.any():
+                    forest.add(i[first], j[first], copies[g])  # noqa: B023
 
-def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root): connected components of edges (a, b); root is the least id.  Only ids with an edge appear.
+            cell_pairs(f, size[g], None if low[g[0]] == high[g[0]] else side[g], radius, ratio, out)
+            if forest.met.any():
+                yield forest.rows(ids[g], fp=f.view(np.int64), size=size[g])
 
-    Each round hooks every vertex to the least root among its neighbours and then jumps to the root's root;
-    rounds are checkpointed in the shared folder and end when nothing changes, so chains of any length come out right.
-    """
-    edges = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct())
-    roots = checkpoint(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"))
-    while True:
-        low = edges.join(roots.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        hook = roots.join(low, roots.id == low.a).select("id", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        # the old root learns of the better one too, so far parts of a chain merge at once
-        up = hook.groupBy("old").agg(F.min("root").alias("best"))
-        jump = hook.join(up, "old").select("id", "old", F.least("root", "best").alias("root"))
-        over = roots.select(F.col("id").alias("r"), F.col("root").alias("rr"))
-        new = checkpoint(jump.join(over, jump.root == over.r, "left").select("id", "old", F.least("root", F.coalesce("rr", "root")).alias("root")))
-        changed = new.where("root <> old").limit(1).count()
-        roots = new.select("id", "root")
-        if not changed:
-            return roots
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(id, root) of every document that has a near copy; root is the least id of its group."""
-    return components(near_pairs(docs, id_col, text_col, radius, ratio).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+    return cells.repartition(n, "choice", "value", "low", "high").mapInArrow(lean(run), "id long, root long, n long, fp long, size int")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = RATIO, agree: int | None = None, shard: int = SHARD) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row with an id: the least id of its group of near copies, and the number of its near copies."""
+    fps = written(fingerprints(docs, id_col, text_col))
+    points = written(fps.where("fp is not null").groupBy("fp", "size").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "fp", "size"))
+    return per_document(fps, points, links(points, radius, ratio, agree, shard), ["fp", "size"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
@@ -236,11 +233,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
 
     Of rows that repeat an id, one stays (the least text).  Rows without an id, and texts without words, are kept.
     """
-    fps = docs.select(ident(id_col).cast("long").alias("id"))
-    drop = groups(docs, id_col, text_col, radius, ratio).where("id <> root").select(F.col("id").alias("_drop_id"))
-    twice = fps.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("_twice_id"))
+    found = written(near_classes(docs, id_col, text_col, radius, ratio))
+    drop = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_drop_id")).distinct()
+    twice = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice_id")))
     key = ident(id_col).cast("long")
     kept = docs.join(drop, key == F.col("_drop_id"), "left_anti")
+    if twice.isEmpty():
+        return kept
     once = kept.join(twice, key == F.col("_twice_id"), "left_anti")
     rest = _least(kept.join(twice, key == F.col("_twice_id"), "left_semi"), key, docs.columns, text_col)
     return once.unionByName(rest)
