@@ -17,10 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all near copies."""
-    from .spotsigs import near_pairs
+    """(doc_id, class_id, n_links) of every document: its group of near copies, and the number of its near copies."""
+    from .spotsigs import near_classes
 
-    return near_pairs(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

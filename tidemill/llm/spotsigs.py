@@ -2,20 +2,21 @@
 
 A signature is an anchor (a common word of four languages) with the CHAIN content words that follow it; content words are the words that
 are no anchors.  A document is the set of its signatures; two documents are near copies if the Jaccard similarity of their sets
-is at least `threshold`.  Every document is a query, and the result is that of brute force.
+is at least `threshold`.  Every document is a query.
 
 Plan: equal sets collapse to one by a 64-bit hash of the set.  By the prefix bound, sets with Jaccard t share one of the first n - ceil(t n) + 1
 members in any fixed order (here: by value), and the least member that they share is such a one for both: so each set is posted under
 those members only.  In the group of a member, sorted by set length, only lengths within the ratio t meet (partition by
-length); a 128-bit sketch of least values prunes further (its limit is 5 standard deviations off), and pairs that share one of their
+length); a 128-bit sketch of least values prunes further, and pairs that share one of their
 LEAD least members, if less than the group's, are left to that one's group.  Members with a surviving pair are joined with their sets and verified exactly; a
-pair counts where the group's member is the least that both share, so nothing is reported twice.
-Postings travel as packed arrays, one for each target partition, not as rows.
-
-Cases: null texts and texts without a word are in no pair, nor are rows without an id; texts without a signature pair only with those of
-the same sequence of words, with Jaccard 1: near copies among them are out of the method's reach; repeated rows of an id pair with nobody but
-others; equal sets have Jaccard 1, and are linked to the least id among them (n - 1 rows for n copies), for which pairs with other sets are
-given; extra columns are ignored; an empty table has no pairs.
+pair counts where the group's member is the least that both share, so nothing counts twice.  Pairs are not written: a group leaves a forest
+of them, and the number of links of each set.  Postings travel as packed arrays, one for each target partition, not as rows.
+Every reported link is exact.  The sketch makes the search for them approximate: its limit lies 5 standard deviations off, so it may lose one in
+3.5 million of the pairs that lie just at the threshold, and fewer above it.
+
+Cases: null texts and texts without a word are linked with nothing, and rows with a null id take no part; texts without a signature are linked only with
+those of the same sequence of words: near copies among them are out of the method's reach; equal sets, and so repeated rows, are linked; rows of
+one id are one document; ties don't matter; texts of any length are read whole; extra columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, parts, written
-from .words import grams, hash_word, mix, pieces, words
+from .groups import Forest, per_document
+from .shared import ident, lean, parts, written
+from .words import Words, grams, hash_word, mix, pieces, words
 
 THRESHOLD, CHAIN = 0.7, 3
 ANCHORS = (
@@ -49,7 +51,10 @@ def _anchor_hashes() -> np.ndarray:
 
 def signatures(column: pa.Array, anchors: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, members): the sorted set of 32-bit signatures of each row."""
-    w = words(column)
+    return _signatures(words(column), anchors, chain)
+
+
+def _signatures(w: Words, anchors: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
     k = np.minimum(np.searchsorted(anchors, w.hash), len(anchors) - 1)
     is_anchor = anchors[k] == w.hash
     spot, content = np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor)
@@ -139,8 +144,8 @@ def surviving(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
     return rec["sig"][keep], rec["h"][keep]
 
 
-def verified(sig: int, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, jaccard) of the pairs of a group whose least shared member is sig."""
+def verified(sig: int, sets: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the pairs of a group whose least shared member is sig, some at a time."""
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     n = n[order]
@@ -151,7 +156,6 @@ def verified(sig: int, sets: list[np.ndarray], threshold: float) -> tuple[np.nda
     row, at = row[shared], at[shared]
     _, at = np.unique(at, return_inverse=True)
     small = flat[shared] < sig
-    out: list = []
     step = 512
     for i in range(0, len(n), step):
         j = min(i + step, len(n))
@@ -181,40 +185,36 @@ def verified(sig: int, sets: list[np.ndarray], threshold: float) -> tuple[np.nda
         inter = both[a, b].astype(np.int64)
         exact = inter / (n[a + i] + n[b + i] - inter)
         good = exact >= threshold - 1e-12
-        out.append((order[a + i][good], order[b + i][good], exact[good]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        if good.any():
+            yield order[a + i][good], order[b + i][good]
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row with an id: the least id of its group of near copies, and the number of its near copies."""
     anchors, n_parts = _anchor_hashes(), parts(docs.sparkSession)
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text")).where("id is not null")
 
-    def sets(batches: Iterator[pa.RecordBatch]):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, h, rest): the hash of the set of signatures and 0; without a signature, 127 bits of that of the sequence of words, or nulls without a word."""
         for batch in batches:
             for b in pieces(batch, "text"):
-                yield (b.column(0), *signatures(b.column(1), anchors, chain))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, off, members in sets(batches):
-            full = pa.array(np.diff(off) > 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_set_hash(off, members).view(np.int64))], ["id", "h"]).filter(full)
+                w = words(b.column(1))
+                off, members = _signatures(w, anchors, chain)
+                first, n = w.first, np.diff(off)
+                h, rest = _set_hash(off, members).view(np.int64), np.zeros(w.rows, np.int64)
+                none = (n == 0) & (np.diff(first) == 0)
+                for k in np.flatnonzero((n == 0) & ~none):
+                    x = hashlib.blake2b(w.hash[first[k] : first[k + 1]].tobytes(), digest_size=16).digest()
+                    h[k], rest[k] = int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True) | 1
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, mask=none), pa.array(rest, mask=none)], ["id", "h", "rest"])
 
-    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of texts without a signature, the hash of the sequence of words."""
+    def sets(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for b in pieces(batch, "text"):
-                off, _ = signatures(b.column(1), anchors, chain)
-                at = np.flatnonzero(np.diff(off) == 0)
-                own = b.take(pa.array(at))
-                w = words(own.column(1))
-                first = w.first
-                some = np.flatnonzero(np.diff(first))
-                key = [hashlib.blake2b(w.hash[first[k] : first[k + 1]].tobytes(), digest_size=16).digest() for k in some]
-                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(some)), pa.array(key, pa.binary())], ["id", "h"])
+                yield signatures(b.column(1), anchors, chain)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, off, members in sets(batches):
+        for off, members in sets(batches):
             rec = _postings(off, members, threshold)
             part = (mix(rec["sig"].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
             rec, part = rec[np.argsort(part, kind="stable")], np.sort(part)
@@ -229,35 +229,32 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sig.astype(np.int64))], ["h", "sig"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, off, members in sets(batches):
+        for off, members in sets(batches):
             full = np.flatnonzero(np.diff(off))
             yield pa.RecordBatch.from_arrays([pa.array(_set_hash(off, members)[full].view(np.int64)), pa.array([members[off[k] : off[k + 1]].tobytes() for k in full], pa.binary())], ["h", "members"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list] = {}
+        own: dict[int, dict] = {}
         for b in batches:
-            for sig, h, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own.setdefault(sig, []).append((h, members))
+            for sig, h, members, i, copies in zip(*(b.column(c).to_pylist() for c in range(5))):
+                own.setdefault(sig, {})[h] = i, copies, members
         while own:
             sig, rows = own.popitem()
-            rows = sorted(dict(rows).items())
             if len(rows) < 2:
                 continue
-            i, j, jac = verified(sig, [np.frombuffer(m, np.uint32) for _, m in rows], threshold)
-            if len(i):
-                h = np.array([h for h, _ in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[j]), pa.array(jac)], ["ha", "hb", "jaccard"])
-
-    ids = written(narrow.mapInArrow(hashes, "id long, h long"))
-    reps = ids.groupBy("h").agg(F.min("id").alias("rep"))
-    candidates = written(narrow.mapInArrow(post, "part int, rec binary").repartition(n_parts, "part").mapInArrow(survive, "h long, sig long"))
+            rows = sorted((i, h, copies, members) for h, (i, copies, members) in rows.items())
+            ids, h, copies = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            forest = Forest(len(rows))
+            for i, j in verified(sig, [np.frombuffer(r[3], np.uint32) for r in rows], threshold):
+                forest.add(i, j, copies)
+            if forest.met.any():
+                yield forest.rows(ids, h=h, rest=np.zeros(len(h), np.int64))
+
+    rows = written(narrow.mapInArrow(lean(keys), "id long, h long, rest long"))
+    points = written(rows.where("h is not null").groupBy("h", "rest").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    candidates = written(narrow.mapInArrow(lean(post), "part int, rec binary").repartition(n_parts, "part").mapInArrow(lean(survive), "h long, sig long"))
     members = candidates.groupBy("h").agg(F.collect_list("sig").alias("sigs"))
-    whole = narrow.mapInArrow(packed, "h long, members binary").join(members.select("h"), "h", "left_semi").dropDuplicates(["h"])
-    joined = whole.join(members, "h").select(F.explode("sigs").alias("sig"), "h", "members")
-    found = joined.repartition(n_parts, "sig").mapInArrow(verify, "ha long, hb long, jaccard double")
-    named = found.join(reps.withColumnsRenamed({"h": "ha", "rep": "a"}), "ha").join(reps.withColumnsRenamed({"h": "hb", "rep": "b"}), "hb")
-    same = ids.join(reps, "h").where("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    alone = written(narrow.mapInArrow(bare, "id long, h binary"))
-    first = alone.groupBy("h").agg(F.min("id").alias("rep"))
-    exact = alone.join(first, "h").where("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    return named.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard").unionByName(same).unionByName(exact)
+    whole = narrow.mapInArrow(lean(packed), "h long, members binary").join(members.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    joined = whole.join(members, "h").join(points.where("rest = 0"), "h").select(F.explode("sigs").alias("sig"), "h", "members", "id", "copies")
+    found = joined.repartition(n_parts, "sig").mapInArrow(lean(verify), "id long, root long, n long, h long, rest long")
+    return per_document(rows, points, found, ["h", "rest"])
