@@ -1,9 +1,12 @@
-"""Casts by path, with wrap-around, null or error on overflow; half precision; path rewrites."""
+"""Casts by path, with wrap-around, null or error on overflow; half precision; path rewrites; rules and what they lose."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import re
+import warnings
+from collections import Counter, deque
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
@@ -14,18 +17,17 @@ LOSSY = {("float16", "bfloat16"), ("bfloat16", "float16"), ("float64", "float16"
 _RANGE = {"int8": (8, True), "int16": (16, True), "int32": (32, True), "uint8": (8, False), "uint16": (16, False)}
 
 
-def to_half(x: pd.Series) -> pd.Series:
-    """Values on the grid of IEEE half precision."""
-    with np.errstate(over="ignore"):
-        return x.astype("float32").astype("float16").astype("float32")
-
+def _grid(c: Column, bits: int, low: int, top: float) -> Column:
+    """c rounded to `bits` significant bits, ties to even, with exponents from `low`; beyond `top` infinite.  Straight from double, in one step.
 
-def to_bfloat(x: pd.Series) -> pd.Series:
-    """Values on the grid of bfloat16: float bits rounded to nearest, ties to even."""
-    f = x.to_numpy(dtype=np.float32, na_value=np.nan)
-    bits = f.view(np.uint32).astype(np.uint64)
-    out = ((bits + 0x7FFF + ((bits >> 16) & 1)) & 0xFFFF0000).astype(np.uint32).view(np.float32)
-    return pd.Series(np.where(np.isnan(f), f, out)).where(x.notna())
+    A number next to 1.5 * 2**52 units has no room for less than a unit, so adding and taking away that many rounds as the hardware does.
+    """
+    x = c.cast("double")
+    exponent = F.greatest(F.coalesce(F.floor(F.log2(F.abs(x))), F.lit(low)), F.lit(low))
+    magic = F.pow(F.lit(2.0), (exponent - (bits - 1)).cast("double")) * F.lit(1.5 * 2.0**52)
+    near = (x + magic) - magic
+    inf = F.when(x > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x == 0), x).when(F.abs(near) > top, inf).otherwise(near).cast("float")
 
 
 def to(c: Column, dtype: str, overflow: str = "wrap") -> Column:
@@ -33,9 +35,9 @@ def to(c: Column, dtype: str, overflow: str = "wrap") -> Column:
     if dtype not in SPARK:
         raise ValueError(f"unknown dtype {dtype}")
     if dtype == "float16":
-        return F.pandas_udf(to_half, "float")(c)
+        return _grid(c, 11, -14, 65504.0)
     if dtype == "bfloat16":
-        return F.pandas_udf(to_bfloat, "float")(c)
+        return _grid(c, 8, -126, (2 - 2.0**-7) * 2.0**127)
     if dtype not in _RANGE:
         return c.cast(SPARK[dtype])
     bits, signed = _RANGE[dtype]
@@ -50,25 +52,97 @@ def to(c: Column, dtype: str, overflow: str = "wrap") -> Column:
 
 
 def cast_paths(df: DataFrame, rules: dict[str, str], overflow: str = "wrap") -> DataFrame:
-    """df with the fields at dotted paths cast; paths that don't exist change nothing; array items are cast one by one."""
+    """df with the fields at dotted paths cast; paths that don't exist change nothing.
+
+    An array's items are cast one by one; `path[i]` casts the one item i (from 0), or fields inside it, and as an array has one type
+    the item comes back in that: its value is that of the cast.
+    """
     bad = [d for d in rules.values() if d not in SPARK]
     if bad:
         raise ValueError(f"unknown dtype {bad[0]}")
 
+    def under(path: str) -> bool:
+        return any(p == path or p.startswith((path + ".", path + "[")) for p in rules)
+
     def walk(c: Column, kind: DataType, path: str) -> Column:
         if isinstance(kind, StructType):
             for f in kind.fields:
                 inner = f"{path}.{f.name}"
-                if any(p == inner or p.startswith(inner + ".") for p in rules):
+                if under(inner):
                     c = c.withField(f.name, walk(c[f.name], f.dataType, inner))
             return c
-        if path in rules:
-            return F.transform(c, lambda x: to(x, rules[path], overflow)) if isinstance(kind, ArrayType) else to(c, rules[path], overflow)
-        return c
+        if isinstance(kind, ArrayType):
+            if path in rules:
+                return F.transform(c, lambda x: to(x, rules[path], overflow))
+            numbers = sorted({int(m[1]) for p in rules if (m := re.match(re.escape(path) + r"\[(\d+)\]", p))})
+            if not numbers:
+                return c
+
+            def item(x: Column, i: Column) -> Column:
+                out = x
+                for k in numbers:
+                    out = F.when(i == k, walk(x, kind.elementType, f"{path}[{k}]").cast(kind.elementType)).otherwise(out)
+                return out
+
+            return F.transform(c, item)
+        return to(c, rules[path], overflow) if path in rules else c
 
     return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
+@dataclass
+class Rules:
+    """Cast rules by path, what they lose, and a short history of failures."""
+
+    by_path: dict[str, str] = field(default_factory=dict)
+    overflow: str = "wrap"
+    history: deque = field(default_factory=lambda: deque(maxlen=1000))
+    failures: Counter = field(default_factory=Counter)
+
+    def add(self, path: str, dtype: str) -> None:
+        if dtype not in SPARK:
+            raise ValueError(f"unknown dtype {dtype}")
+        self.by_path[path] = dtype
+
+    def remove(self, path: str) -> bool:
+        """Whether there was such a rule."""
+        return self.by_path.pop(path, None) is not None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return cast_paths(df, self.by_path, self.overflow)
+
+    def failed(self, path: str, why: str) -> None:
+        self.history.append((path, why))
+        self.failures[path] += 1
+
+    def summary(self) -> dict:
+        """Rules by target, in all, and bytes a value of each; the last 10 failures and their number by path."""
+        targets = Counter(self.by_path.values())
+        return {"rules": len(self.by_path), "by_dtype": dict(targets), "width": {d: WIDTH[d] for d in targets}, "failures": dict(self.failures), "last": list(self.history)[-10:]}
+
+
+def lossy(wire: str, working: str) -> bool:
+    """Whether a value may change on its way from the wire type to the working type, and warns if so."""
+    for d in (wire, working):
+        if d not in SPARK:
+            raise ValueError(f"unknown dtype {d}")
+    if (wire, working) in LOSSY:
+        warnings.warn(f"{wire} to {working} loses values", stacklevel=2)
+        return True
+    return False
+
+
+def prepared(df: DataFrame, paths: dict[str, str], rules: dict[str, str], overflow: str = "wrap", validate: bool = True) -> DataFrame:
+    """df with its columns moved, then cast, and (validate) `valid`: no top column that is a number is NaN or infinite."""
+    from .quality import invalid
+
+    out = cast_paths(remap(df, paths) if paths else df, rules, overflow)
+    if not validate:
+        return out
+    top = [f.name for f in out.schema.fields if isinstance(f.dataType, (FloatType, DoubleType, ArrayType))]
+    return out.withColumn("valid", ~invalid(out.select(*[F.col(f"`{c}`") for c in top]))) if top else out.withColumn("valid", F.lit(True))
+
+
 def remap(df: DataFrame, paths: dict[str, str]) -> DataFrame:
     """df with top columns moved to dotted paths, making structs; others stay."""
     tree: dict = {}

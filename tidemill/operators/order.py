@@ -22,6 +22,16 @@ def numbered(df: DataFrame, bucket: Column, order: Sequence[Column], name: str =
     return with_bucket.join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_offset") + inside - 1).drop("_bucket", "_offset")
 
 
+def numbered_in(df: DataFrame, part: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """df with its 0-based position inside its part, in (bucket, *order), so that a part with most rows is no single task's; see `numbered`."""
+    with_bucket = df.withColumn("_bucket", bucket)
+    counts = with_bucket.groupBy(*part, "_bucket").count()
+    before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*part, "_bucket").orderBy(*order))
+    return with_bucket.withColumn("_n", inside).join(offsets, [*part, "_bucket"]).withColumn(name, F.col("_offset") + F.col("_n") - 1).drop("_bucket", "_offset", "_n")
+
+
 def by_digest(df: DataFrame, digest: Column, *ties: Column, name: str = "pos") -> DataFrame:
     """Positions in the order of a hex digest; its first three digits are the buckets."""
     return numbered(df.withColumn("_digest", digest), F.substring("_digest", 1, 3), [F.col("_digest"), *ties], name).drop("_digest")
@@ -67,3 +77,41 @@ def resume(df: DataFrame, batches_done: int, size: int, total: int | None = None
     if total:
         return df.withColumn("logical_epoch", F.lit(cursor // total)).where(F.col(pos) >= cursor % total)
     return df.where(F.col(pos) >= cursor)
+
+
+def pooled(df: DataFrame, shard: str, row: str, pool: int = 3, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """df in the order of a reader that keeps `pool` shards open and draws rows from all of them: with `pool_id`, and `pos` in the whole order.
+
+    Shards go in seeded order, `pool` at a time; the rows of a pool are mixed.  Every row comes once.
+    """
+    shards = permutation(df.select(shard).distinct(), shard, seed, epoch, "_rank").withColumn("pool_id", F.floor(F.col("_rank") / pool)).drop("_rank")
+    placed = df.join(shards, shard).withColumn("_digest", key(seed, epoch, F.col(shard), F.col(row)))
+    # buckets: a pool's rows by three digits of their digest; rows before a bucket are prefix sums of counts
+    placed = placed.withColumn("_bucket", F.substring("_digest", 1, 3))
+    counts = placed.groupBy("pool_id", "_bucket").count()
+    inside = F.coalesce(F.sum("count").over(Window.partitionBy("pool_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = offsets_of(counts.groupBy("pool_id").agg(F.sum("count").alias("count")), "pool_id", "count")
+    starts = counts.withColumn("_in", inside).join(totals, "pool_id").select("pool_id", "_bucket", (F.col("_in") + F.col("off")).alias("_off"))
+    w = Window.partitionBy("pool_id", "_bucket").orderBy("_digest", shard, row)
+    return placed.withColumn("_n", F.row_number().over(w)).join(starts, ["pool_id", "_bucket"]).withColumn("pos", F.col("_off") + F.col("_n") - 1).drop("_digest", "_bucket", "_n", "_off")
+
+
+def offsets_of(df: DataFrame, key_col: str, count: str) -> DataFrame:
+    """df (a row for each piece of an order) with the counts before each, in two phases, so that no task sees all pieces."""
+    low, high = df.agg(F.min(key_col), F.max(key_col)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
+    part = df.withColumn("_b", F.floor((F.col(key_col) - F.lit(low or 0)) / F.lit(width)))
+    sums = part.groupBy("_b").agg(F.sum(count).alias("_s"))
+    outer = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # at most BUCKETS rows
+    own = F.coalesce(F.sum(count).over(Window.partitionBy("_b").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return part.withColumn("_i", own).join(F.broadcast(outer), "_b").withColumn("off", F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
+
+
+def buffered(df: DataFrame, size: int, seed: int = 42, epoch: int = 0, ident: str = "pos") -> DataFrame:
+    """df (with pos) as a shuffle buffer of `size` rows mixes a stream: `out`, the new position, less than `size` from pos.
+
+    Every row comes once; the last rows are mixed among themselves, as a draining buffer does.
+    """
+    w = Window.partitionBy("_block").orderBy(key(seed, epoch, F.col(ident)), ident)
+    placed = df.withColumn("_block", F.floor(F.col("pos") / size))
+    return placed.withColumn("out", F.col("_block") * size + F.row_number().over(w) - 1).drop("_block")

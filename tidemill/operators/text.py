@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ..sources.shared import written
+from .order import BUCKETS, numbered
 
 SPACE = "[ \\t\\n\\r]+"
 PAD, EOS = 0, 1
@@ -19,24 +28,62 @@ def vocabulary(df: DataFrame, column: str = "token") -> DataFrame:
 
     Numbered by ranges of the first two bytes, so no task sorts the whole vocabulary.
     """
-    from .order import numbered
-
-    words = df.select(F.col(column).alias("token")).distinct()
+    words = written(df.select(F.col(column).alias("token")).distinct())
     out = numbered(words, F.substring(F.hex(F.encode("token", "UTF-8")), 1, 3), [F.encode("token", "UTF-8")], "id")
     return out.select("token", (F.col("id") + 2).cast("int").alias("id"))
 
 
+VOCABULARY_ROWS = 1_000_000  #: words that are looked up in a broadcast; more are joined
+
+
+def token_ids(docs: DataFrame, key: str, column: str = "tokens", broadcast_rows: int = VOCABULARY_ROWS) -> DataFrame:
+    """docs with `ids` for its token arrays, by the vocabulary of all of them (see `vocabulary`).
+
+    A vocabulary of at most `broadcast_rows` words is broadcast, and the tokens stay where they are; a larger one is joined with the
+    occurrences, whose hot words AQE splits.  The ids are the same.  key: a column without repeated values.
+    """
+    voc = written(vocabulary(docs.select(F.explode(column).alias("token"))))
+    if voc.count() <= broadcast_rows:
+        table = voc.toArrow().combine_chunks()
+        shared = docs.sparkSession.sparkContext.broadcast((table["token"].combine_chunks() if len(table) else pa.array([], pa.string()), table["id"].to_numpy().astype(np.int32)))
+        at = docs.columns.index(column)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, numbers = shared.value
+            known = None
+            for b in batches:
+                if known is None:
+                    known = dict(zip(words.to_pylist(), numbers.tolist()))
+                lists = b.column(at)
+                coded = lists.flatten().dictionary_encode()
+                own = np.array([known[w] for w in coded.dictionary.to_pylist()], np.int32)
+                flat = own[coded.indices.to_numpy()] if len(own) else own
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), made], [*(c for c in b.schema.names if c != column), "ids"])
+
+        kept = docs.drop(column)
+        return docs.mapInArrow(run, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    flat = docs.select(key, F.posexplode(column).alias("p", "token"))
+    got = flat.join(voc, "token").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "id"))), lambda s: s["id"]).alias("ids"))
+    return docs.drop(column).join(got, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+
+
 def pack(docs: DataFrame, size: int, eos: int = EOS, flush: bool = True) -> DataFrame:
     """(chunk, input_ids): token arrays in order of `pos`, each with an end token, cut into chunks of `size`; the rest is padded with the end token.
 
-    docs: (pos, ids). Empty documents give nothing, not even an end.  Offsets are prefix sums in two phases: by ranges of positions, then within.
+    docs: (pos, ids), best a written table, as it is read twice.  Empty documents give nothing, not even an end.  Offsets are prefix sums of the lengths
+    alone, in two phases: over at most BUCKETS ranges of positions, then within.
     """
-    full = docs.where(F.size("ids") > 0).select("pos", F.concat("ids", F.array(F.lit(eos))).alias("ids")).withColumn("b", F.floor(F.col("pos") / 1024))
-    sums = full.groupBy("b").agg(F.sum(F.size("ids")).alias("s"))
+    lengths = docs.where(F.size("ids") > 0).select("pos", (F.size("ids") + 1).alias("n"))
+    most = lengths.agg(F.max("pos")).first()[0] or 0
+    lengths = lengths.withColumn("b", F.floor(F.col("pos") / max(1024, -(-(most + 1) // BUCKETS))))
+    sums = lengths.groupBy("b").agg(F.sum("n").alias("s"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("o"))
-    inside = F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = full.join(starts, "b").select((F.col("o") + inside).alias("off"), "ids")
+    starts = sums.select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("o"))  # at most BUCKETS rows
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lengths.join(F.broadcast(starts), "b").select("pos", (F.col("o") + inside).alias("off")).join(docs.select("pos", F.concat("ids", F.array(F.lit(eos))).alias("ids")), "pos")
     # a document gives one slice for each chunk it touches, not one row for each token
     first, last = F.floor(F.col("off") / size), F.floor((F.col("off") + F.size("ids") - 1) / size)
     cut = placed.select("off", "ids", F.explode(F.sequence(first, last)).alias("chunk"))
@@ -65,3 +112,21 @@ def full_mask(ids: Column) -> Column:
 def span_mask(ids: Column, first: Column, past: Column) -> Column:
     """True from first to before past."""
     return F.transform(ids, lambda x, i: (i >= first) & (i < past))
+
+
+def ring_fault(ids: Column, mask: Column, vocabulary_size: int) -> Column:
+    """Why a token ring refuses a row: 'empty', 'mask' (another length) or 'id' (outside the vocabulary); null if it takes it."""
+    outside = F.exists(ids, lambda x: (x < 0) | (x >= vocabulary_size))
+    return F.when(ids.isNull() | (F.size(ids) == 0), "empty").when(mask.isNotNull() & (F.size(mask) != F.size(ids)), "mask").when(outside, "id")
+
+
+def sampled(slots: DataFrame, slot: str, rows: int, digest, name: str = "i") -> DataFrame:
+    """`rows` uniform draws, with replacement, from numbered slots: (i, ...).  digest: a column of hex digits made from column i."""
+    from ..functions.rng import uniform
+
+    n = slots.count()
+    if not n:
+        raise IndexError("nothing to draw from")
+    spark = slots.sparkSession
+    draws = spark.range(rows).withColumnRenamed("id", name)
+    return draws.withColumn(slot, F.floor(uniform(digest) * n)).join(slots, slot)

@@ -22,7 +22,10 @@ def ordered(spark, d):
 _CYCLE = blend.wrr_cycle({"en": 3.0, "de": 1.5, "es": 1.0})
 
 
-@query(f"select doc_id, pos, ['{chr(39).join(_CYCLE).replace(chr(39), chr(39) + ',' + chr(39))}'][cast(pos % {len(_CYCLE)} as integer) + 1] as pick from {ORD}")
+_LEFT = "(select name, row_number() over (order by w - k desc, i) - 1 as place, count(*) over () as n from (select * from (values (0, 'en', 3.0), (1, 'de', 1.5), (2, 'es', 1.0)) v(i, name, w), (select unnest(range(3)) as k) where k < w))"
+
+
+@query(f"select doc_id, pos, name as pick from {ORD} join {_LEFT} on place = pos % n")
 def wrr_dispatch(spark, d):
     return ordered(spark, d).select("doc_id", "pos", blend.at_cycle(_CYCLE, F.col("pos")).alias("pick"))
 
@@ -30,7 +33,7 @@ def wrr_dispatch(spark, d):
 _SMOOTH = blend.smooth_wrr_cycle({"en": 3, "de": 1})
 
 
-@query(f"select doc_id, pos, ['{chr(39).join(_SMOOTH).replace(chr(39), chr(39) + ',' + chr(39))}'][cast(pos % 4 as integer) + 1] as pick from {ORD}")
+@query(f"with recursive s as (select 0 as i, -1 as a, 1 as b, 'en' as pick union all select i + 1, a + 3 - case when a + 3 >= b + 1 then 4 else 0 end, b + 1 - case when a + 3 >= b + 1 then 0 else 4 end, case when a + 3 >= b + 1 then 'en' else 'de' end from s where i < 3) select doc_id, pos, pick from {ORD} join s on i = pos % 4")
 def smooth_wrr_dispatch(spark, d):
     return ordered(spark, d).select("doc_id", "pos", blend.at_cycle(_SMOOTH, F.col("pos")).alias("pick"))
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import key
 from ..operators import order
 from ..sources import catalog as K
+from ..sources.shared import work_dir
 from .registry import query, t
 
 SH = "(select source as file, count(*) as rows, cast(sum(n_chars) as bigint) as bytes from documents group by 1)"
@@ -82,7 +80,10 @@ def companions_ready(spark, d):
 def lru_resident(spark, d):
     """What an LRU store of 50 keys for each type holds after the log."""
     last = t(spark, d, "events").groupBy("event_type", F.col("user_id").alias("key")).agg(F.max("event_id").alias("last_access"))
-    return last.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("last_access")))).where("r <= 50").drop("r")
+    # each task keeps its own 50 of a type before they meet
+    own = F.row_number().over(Window.partitionBy("event_type", "task").orderBy(F.desc("last_access")))
+    few = last.withColumn("task", F.spark_partition_id()).withColumn("r", own).where("r <= 50").drop("r", "task")
+    return few.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("last_access")))).where("r <= 50").drop("r")
 
 
 @query("select doc_id, coalesce(l.quality, -1) as quality, l.doc_id is not null as hit from documents left join labels l using (doc_id)")
@@ -116,17 +117,16 @@ def stream_ring(spark, d):
     """Ring state of a stream: 16 slots for each of four groups, fed from the events table as a file stream."""
     from ..streaming.growing import drain, ring, stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemill-")
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = work_dir(spark, "stream")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         schema = t(spark, d, "events").schema
         puts = stream(spark, f"{d}/events.parquet*", schema).select((F.col("user_id") % 4).alias("grp"), F.col("event_id").alias("key"))
-        drain(ring(puts, "grp", "key", "key", 16), f"{work}/state", lambda df, _: df.write.mode("append").parquet(f"{work}/out"))
+        drain(ring(puts, "grp", "key", "key", 16), f"{work}/state", lambda df, batch: df.write.mode("overwrite").parquet(f"{work}/out/batch={batch}"))  # a batch that is tried again replaces itself
     finally:
         spark.conf.set(provider, before)
-    return spark.read.parquet(f"{work}/out").groupBy(F.col("group").alias("grp")).agg(F.count("*").alias("puts"), F.count("evicted").alias("evicted"))
+    return spark.read.parquet(f"{work}/out").drop("batch").groupBy(F.col("group").alias("grp")).agg(F.count("*").alias("puts"), F.count("evicted").alias("evicted"))
 
 

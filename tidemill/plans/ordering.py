@@ -89,9 +89,10 @@ POOL = """(select doc_id, source, row_number() over (partition by source order b
 def pool_epoch_multiset(spark, d):
     """A worker reads its shards in pools of three; within a shard rows go in seeded order; each row once."""
     docs = t(spark, d, "documents").select("doc_id", "source")
-    w = Window.partitionBy("source").orderBy(key(42, 0, F.col("doc_id")), "doc_id")
     shards = order.permutation(docs.select("source").distinct(), "source").select("source", F.pmod("pos", F.lit(3)).cast("int").alias("worker"), F.floor(F.col("pos") / 9).alias("pool_round"))
-    return docs.withColumn("row_pos", (F.row_number().over(w) - 1).cast("long")).join(shards, "source").select("worker", "source", "doc_id", "row_pos", "pool_round")
+    docs = docs.withColumn("digest", key(42, 0, F.col("doc_id")))
+    rows = order.numbered_in(docs, ["source"], F.substring("digest", 1, 3), [F.col("digest"), F.col("doc_id")], "row_pos")
+    return rows.join(shards, "source").select("worker", "source", "doc_id", "row_pos", "pool_round")
 
 
 @query("with o as (select doc_id, text, row_number() over (order by doc_id) - 1 as pos from documents), f as (select min(pos) as stop from o where regexp_matches(text, '\\S') and pos + 1 >= 500) select doc_id, pos from o, f where pos <= coalesce(stop, pos) and regexp_matches(text, '\\S')")
@@ -152,14 +153,15 @@ def sample_frames(spark, d):
 @query("select user_id, e.range as epoch, row_number() over (partition by e.range order by md5('42:' || e.range || ':' || user_id), user_id) - 1 as pos from (select distinct user_id from events), range(3) e")
 def endless_epochs(spark, d):
     users = t(spark, d, "events").select("user_id").distinct().crossJoin(spark.range(3).withColumnRenamed("id", "epoch"))
-    w = Window.partitionBy("epoch").orderBy(key(42, F.col("epoch"), F.col("user_id")), "user_id")
-    return users.select("user_id", "epoch", (F.row_number().over(w) - 1).cast("long").alias("pos"))
+    users = users.withColumn("digest", key(42, F.col("epoch"), F.col("user_id")))
+    return order.numbered_in(users, ["epoch"], F.substring("digest", 1, 3), [F.col("digest"), F.col("user_id")]).select("user_id", "epoch", "pos")
 
 
 @query(f"select seq, case when (event_id % 2) = 0 then 1 else -1 end as delta, cast(sum(case when (event_id % 2) = 0 then 1 else -1 end) over (order by seq) as bigint) as balance from {RING}")
 def gate_balance(spark, d):
     """Produced minus consumed along a log: prefix sums in two phases, by bucket and within."""
-    p = puts(spark, d).select("seq", F.when(F.pmod("event_id", F.lit(2)) == 0, 1).otherwise(-1).alias("delta"), F.floor(F.col("seq") / 4096).alias("b"))
+    width = max(4096, -(-t(spark, d, "events").count() // order.BUCKETS))
+    p = puts(spark, d).select("seq", F.when(F.pmod("event_id", F.lit(2)) == 0, 1).otherwise(-1).alias("delta"), F.floor(F.col("seq") / width).alias("b"))
     sums = p.groupBy("b").agg(F.sum("delta").alias("s"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("o"))

@@ -53,11 +53,16 @@ def wire_working_cast(spark, d):
     return t(spark, d, "events").select("event_id", wire.cast(C.SPARK[C.work_dtype("float32", None, "float64")]).alias("working"))
 
 
-@query()
+def _rounded(bits, low):
+    u = f"pow(2.0, greatest(floor(log2(abs(x))), {low}) - {bits - 1})"
+    return f"case when x = 0 then 0 else round_even(x / {u}, 0) * {u} end"
+
+
+@query(f"with e as (select vec_id, unnest(embedding)::double as x from embeddings) select vec_id, max(abs(x - {_rounded(11, -14)})) as half_error, max(abs(x - {_rounded(8, -126)})) as bfloat_error from e group by 1")
 def half_precision(spark, d):
     """Embeddings on the half and bfloat16 grids: the largest error of each."""
     x = t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    x = x.select("vec_id", "x", C.to(F.col("x"), "float16").alias("h"), C.to(F.col("x"), "bfloat16").alias("b"))
+    x = x.select("vec_id", F.col("x").cast("double").alias("x"), C.to(F.col("x"), "float16").cast("double").alias("h"), C.to(F.col("x"), "bfloat16").cast("double").alias("b"))
     return x.groupBy("vec_id").agg(F.max(F.abs(F.col("x") - F.col("h"))).alias("half_error"), F.max(F.abs(F.col("x") - F.col("b"))).alias("bfloat_error"))
 
 
@@ -111,18 +116,21 @@ def error_summary(spark, d):
 
 @query("with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) select event_type, max(case when i = n // 2 then value end) as p50, max(case when i = cast(floor(n * 0.95) as bigint) then value end) as p95, max(case when i = cast(floor(n * 0.99) as bigint) then value end) as p99, round(avg(value), 6) as mean from s group by 1")
 def latency_stats(spark, d):
-    """Exact percentiles by index, from one sort of each group."""
-    w = Window.partitionBy("event_type")
-    s = t(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    """Exact percentiles by index; a group is sorted in 1,024 ranges of its values."""
+    e = t(spark, d, "events").select("event_type", "value")
+    ends = e.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), F.avg("value").alias("mean"))  # one row a type
+    placed = e.join(F.broadcast(ends), "event_type")
+    s = order.numbered_in(placed, ["event_type"], F.floor(1023 * (F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))), [F.col("value")], "i")
     at = lambda q: F.max(F.when(F.col("i") == q, F.col("value")))
-    return s.groupBy("event_type").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95"), at(F.floor(F.col("n") * 0.99)).alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
+    return s.groupBy("event_type").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95"), at(F.floor(F.col("n") * 0.99)).alias("p99"), F.round(F.first("mean"), 6).alias("mean"))
 
 
 @query("with recursive f as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n from events), e as (select user_id, i, n, value as ema from f where i = 1 union all select f.user_id, f.i, f.n, 0.1 * f.value + 0.9 * e.ema from e join f on f.user_id = e.user_id and f.i = e.i + 1) select user_id, round(ema, 6) as ema from e where i = n")
 def ema(spark, d):
-    f = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"))
-    v = F.transform("x", lambda s: s["value"])
-    return f.select("user_id", F.round(F.aggregate(F.slice(v, 2, F.size(v)), F.element_at(v, 1), lambda a, x: F.lit(0.1) * x + F.lit(0.9) * a), 6).alias("ema"))
+    """The last value of the moving average, as a sum with falling weights: it is partly added up before rows meet, and no history is held."""
+    f = E.frames(t(spark, d, "events").select("user_id", "value", "ts", "event_id"), "user_id", "ts", "event_id")
+    weight = F.when(F.col("frame") == 0, F.lit(1.0)).otherwise(F.lit(0.1)) * F.pow(F.lit(0.9), F.col("n") - 1 - F.col("frame"))
+    return f.groupBy("user_id").agg(F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
 
 
 @query("select round(100.0 * (count(*) - count(distinct user_id)) / count(*), 6) as resample_pct, round(count(*) * 1.0 / count(distinct user_id), 6) as reads_per_doc from events")

@@ -48,9 +48,10 @@ def layout_complete(spark, d):
     return t(spark, d, "events").agg(F.count_distinct("user_id").alias("ready"), F.max("user_id").alias("last_id")).withColumn("complete", (F.col("ready") >= 100) & (F.col("last_id") >= 99))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
 def missing_episodes(spark, d):
-    return t(spark, d, "customer").select("c_custkey").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Expected keys for which nothing is there."""
+    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query(f"select user_id, frame, gap from (select user_id, frame, round(epoch(ts) - epoch(lag(ts) over (partition by user_id order by frame)), 6) as gap from {FR}) where abs(gap - 3600.0) > 1800.0")
@@ -74,9 +75,13 @@ def pinned_shards(spark, d):
     return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(pins, "o_custkey", "left_semi")
 
 
-@query("select c_custkey from customer where c_nationkey < 10 and not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select doc_id from documents where doc_id % 10 = 3 and doc_id not in (select doc_id from labels where doc_id is not null)")
 def pinned_missing(spark, d):
-    return t(spark, d, "customer").where("c_nationkey < 10").select("c_custkey").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Pins that aren't there any more."""
+    from ..sources.view import missing_pins
+
+    pins = t(spark, d, "documents").where(F.pmod("doc_id", F.lit(10)) == 3).select("doc_id")
+    return missing_pins(pins, t(spark, d, "labels"), "doc_id")
 
 
 @query("select delta, cast(round_even(delta * 10, 0) as bigint) as idx from (values (-0.25::double), (-0.05::double), (0.0::double), (0.05::double), (0.15::double), (0.25::double)) v(delta)")
@@ -137,19 +142,21 @@ def epoch_length(spark, d):
     return t(spark, d, "events").where(F.pmod("user_id", F.lit(10)) != 9).agg(F.count("*").alias("frames"), F.count_distinct("user_id").alias("episodes"))
 
 
-@query("select user_id from events where user_id % 10 <> 9 intersect select user_id from events where user_id % 10 = 9")
+@query("select distinct user_id from events where user_id % 10 <> 9 and (user_id % 10 = 9 or user_id % 25 = 0)")
 def isolation_leaks(spark, d):
+    """Episodes that a held-out split shares with the train split: here it took every 25th too."""
     e = t(spark, d, "events").select("user_id").distinct()
-    return e.where(F.pmod("user_id", F.lit(10)) != 9).join(e.where(F.pmod("user_id", F.lit(10)) == 9), "user_id", "left_semi")
+    held = e.where((F.pmod("user_id", F.lit(10)) == 9) | (F.pmod("user_id", F.lit(25)) == 0))
+    return e.where(F.pmod("user_id", F.lit(10)) != 9).join(held, "user_id", "left_semi")
 
 
-@query("select user_id from events group by user_id having min(ts) >= (select quantile_disc(ts, 0.5) from events) and user_id % 10 <> 9")
+@query("select o_custkey from orders group by o_custkey having min(o_orderdate) >= (select quantile_disc(o_orderdate, 0.1) from orders) and o_custkey % 10 <> 9")
 def admission_delta(spark, d):
-    """Episodes that the later of two snapshots adds, of the train split."""
-    e = t(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    cut = e.agg(F.percentile_disc("us", 0.5).alias("cut")) if hasattr(F, "percentile_disc") else e.agg(F.expr("percentile_disc(0.5) within group (order by us)").cast("long").alias("cut"))
-    later = e.groupBy("user_id").agg(F.min("us").alias("first")).crossJoin(F.broadcast(cut))  # one row
-    return later.where((F.col("first") >= F.col("cut")) & (F.pmod("user_id", F.lit(10)) != 9)).select("user_id")
+    """Keys that the later of two snapshots adds, of the train split."""
+    e = t(spark, d, "orders").select("o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
+    cut = e.agg(F.expr("percentile_disc(0.1) within group (order by us)").cast("long").alias("cut"))
+    later = e.groupBy("o_custkey").agg(F.min("us").alias("first")).crossJoin(F.broadcast(cut))  # one row
+    return later.where((F.col("first") >= F.col("cut")) & (F.pmod("o_custkey", F.lit(10)) != 9)).select("o_custkey")
 
 
 @query("select 50 as min_episodes, greatest(50, cast(floor(0.1 * count(distinct user_id)) as bigint)) as gate from events")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blend, order
 from ..operators import text as X
+from ..sources.shared import written
 from .registry import query, t
 
 SP = "'[ \\t\\n\\r]+'"
@@ -16,16 +17,15 @@ IDS = f"(select doc_id, row_number() over (order by doc_id) - 1 as pos, lang, co
 
 
 def ids(spark, d):
-    """(doc_id, lang, ids): token ids by a join with the vocabulary of distinct words."""
+    """(doc_id, lang, ids): token ids by the vocabulary of distinct words."""
     docs = t(spark, d, "documents").select("doc_id", "lang", X.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    flat = docs.select("doc_id", F.posexplode("tokens").alias("p", "token"))
-    voc = X.vocabulary(flat)
-    got = flat.join(voc, "token").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "id"))), lambda s: s["id"]).alias("ids"))
-    return docs.select("doc_id", "lang").join(got, "doc_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    return X.token_ids(docs, "doc_id")
 
 
 def positioned(spark, d):
-    return order.by_number(ids(spark, d), "doc_id")
+    """ids, written once, with the position of each document; only keys are put in order."""
+    got = written(ids(spark, d))
+    return written(order.by_number(got.select("doc_id"), "doc_id").join(got, "doc_id"))
 
 
 @query("select doc_id, n_chars from documents where regexp_matches(text, '[^ \\t\\n\\r\\f\\x0B\\x1c-\\x1f\\x85\\xa0]')")
@@ -163,9 +163,12 @@ def invariant_pretrain(spark, d):
     return broken(spark, d).where(F.exists(F.arrays_zip("input_ids", "mask"), lambda z: (z["input_ids"] != 0) != z["mask"])).select("doc_id")
 
 
-@query("select conv_id, turn from " + KEPT + " where not (contains(loss_mask, '0') and contains(loss_mask, '1'))")
+@query("select conv_id, turn from " + KEPT + " where conv_id % 7 = 0 or not (contains(loss_mask, '0') and contains(loss_mask, '1'))")
 def invariant_chat(spark, d):
-    return templated(spark, d).where(~(F.exists("loss_mask", lambda x: x) & F.exists("loss_mask", lambda x: ~x))).select("conv_id", "turn")
+    """Masks that don't tell query from reply; every seventh conversation is given one."""
+    mask = F.when(F.pmod("conv_id", F.lit(7)) == 0, F.transform("loss_mask", lambda x: F.lit(True))).otherwise(F.col("loss_mask"))
+    rows = templated(spark, d).withColumn("loss_mask", mask)
+    return rows.where(~(F.exists("loss_mask", lambda x: x) & F.exists("loss_mask", lambda x: ~x))).select("conv_id", "turn")
 
 
 @query(f"select doc_id from {BAD} where list_bool_and(mask) is distinct from true")

@@ -65,13 +65,15 @@ def offsets(shards: DataFrame, name: str, rows: str) -> DataFrame:
 def locate(positions: DataFrame, shards: DataFrame, pos: str = "pos") -> DataFrame:
     """positions with the shard that holds each and the row inside it; positions past the end wrap round.
 
-    The catalogue has one row for each file; it is broadcast only while it has fewer than 100,000.
+    Files' ranges are cut at multiples of their mean length, so a position finds its file by an equal join on a bin: there are at most two bins a file.
     """
-    total = shards.agg(F.sum("rows")).first()[0] or 1
-    many = shards.count()
-    right = F.broadcast(shards) if many < 100_000 else shards
-    at = positions.withColumn("_at", F.pmod(pos, F.lit(total)))
-    return at.join(right, (F.col("_at") >= F.col("off")) & (F.col("_at") < F.col("off") + F.col("rows"))).withColumn("local", F.col("_at") - F.col("off")).drop("_at")
+    total, many = shards.agg(F.sum("rows"), F.count("*")).first()
+    width = max(1, -(-(total or 1) // max(many, 1)))
+    bins = F.sequence(F.floor(F.col("off") / width), F.floor((F.col("off") + F.col("rows") - 1) / width))
+    right = shards.where("rows > 0").withColumn("_bin", F.explode(bins))
+    at = positions.withColumn("_at", F.pmod(pos, F.lit(total or 1))).withColumn("_bin", F.floor(F.col("_at") / width))
+    got = at.join(right, "_bin").where((F.col("_at") >= F.col("off")) & (F.col("_at") < F.col("off") + F.col("rows")))
+    return got.withColumn("local", F.col("_at") - F.col("off")).drop("_at", "_bin")
 
 
 def retained(shards: DataFrame, name: str, size: str, budget: int) -> DataFrame:
@@ -111,3 +113,12 @@ def cached(df: DataFrame, root: str, name: str, spec: dict) -> DataFrame:
     if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def token_rows(tokens: DataFrame, wanted: list[int], pos: str = "pos") -> DataFrame:
+    """The rows of a numbered token scan at given positions; a position outside it is an error."""
+    n = tokens.count()
+    bad = [w for w in wanted if not 0 <= w < n]
+    if bad:
+        raise IndexError(f"row {bad[0]} of {n}")
+    return tokens.where(F.col(pos).isin(wanted))

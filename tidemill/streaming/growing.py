@@ -58,9 +58,12 @@ def ring(df: DataFrame, group: str, key: str, order: str, capacity: int) -> Data
 
 def failure_abort(df: DataFrame, order: str, ok: str, most: int) -> bool:
     """Whether some run of failures is longer than the policy bears; a success resets it."""
-    from ..operators.quality import runs
+    from ..operators.order import by_number
 
-    return bool(runs(df.withColumn("_all", F.lit(1)), ["_all"], order, F.col(ok)).where((~F.col("value")) & (F.col("length") > most)).limit(1).count())
+    # a failure's place in the log less its place among failures is the same along a run
+    placed = by_number(df.select(order, ok), order, name="_pos").where(~F.col(ok))
+    among = by_number(placed, order, name="_bad")
+    return bool(among.groupBy(F.col("_pos") - F.col("_bad")).count().where(F.col("count") > most).limit(1).count())
 
 
 @dataclass
