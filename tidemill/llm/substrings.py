@@ -6,7 +6,7 @@ run of repeated words, and is exact.  Words are compared by 32-bit hash, lower c
 Plan: winnowing selects word k-grams so that every run of `least` words holds one, and equal runs hold equal ones.  Grams that
 two documents select mark the places worth indexing; the words that any run through such a gram can take (a window of 2 least - k words)
 go to the gram's shard.  A shard indexes its distinct windows: suffix order by prefix doubling, Burrows-Wheeler transform, wavelet
-matrix of bit vectors with rank counts.  Every window streams through backward search, all of a shard at a time, and keeps at
+matrix of 16 branches with rank counts.  Every window streams through backward search, all of a shard at a time, and keeps at
 every end the longest match that another document has (the matching statistics); intervals of at least `least` words are
 reported, and the intervals of a document are merged.  Windows are of constant length, so shards grow in number with the corpus, not the work a word.
 
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ident, parts, written
+from .shared import ident, lean, parts, written
 from .words import grams, mix, pieces, words
 
 LEAST, GRAM = 50, 16
 _MARK = np.dtype([("fp", "<u8"), ("id", "<i8"), ("text", "<i8"), ("pos", "<u4")])
-_SLICE, SHARDS = 8 << 20, 8  #: bytes of text at a time; shards of each shuffle partition, indexed one after another
+_SLICE, SHARDS = 2 << 20, 8  #: bytes of text at a time; shards of each shuffle partition, indexed one after another
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -57,52 +57,78 @@ def winnowed(h: np.ndarray, row: np.ndarray, least: int, k: int) -> tuple[np.nda
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes in the order of their first `depth` items, at least."""
     n = len(text)
-    rank = text.astype(np.int64)
-    have = 1
+    bits = max(1, int(text.max() + 1).bit_length())
+    # as many items as a word holds are compared at once, then twice as many in each round
+    have = min(63 // bits, n)
+    key = np.zeros(n, np.int64)
+    for k in range(have):
+        key <<= bits
+        key[: n - k] |= text[k:] + 1
+    rank = np.zeros(n, np.int64)
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - have] = rank[have:] + 1
-        key = rank * (int(rank.max()) + 2) + second if have < n else rank
         order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+        at = key[order]
+        new = np.zeros(n, np.int64)
+        np.cumsum(at[1:] != at[:-1], out=new[1:])
         rank[order] = new
-        have *= 2
         if have >= depth or new[-1] == n - 1:
-            return order
+            return order.astype(np.int32)
+        key = rank * int(new[-1] + 2)
+        key[: n - have] += rank[have:] + 1
+        have *= 2
+
+
+_ONES = np.uint64(0x1111111111111111)
+_REPEATED = np.arange(16, dtype=np.uint64) * _ONES  #: a nibble, 16 times
+_BELOW = np.array([(1 << 4 * k) - 1 for k in range(16)], np.uint64)  #: the first k nibbles
 
 
 class FMIndex:
-    """Backward search in a text of codes 0 .. sigma - 1."""
+    """Backward search in a text of codes 0 .. sigma - 1, by a wavelet matrix with 16 branches a level.
+
+    A level holds a nibble of every code, 16 of them in a word, and for every word how many of each nibble come before, so the rank of
+    a nibble takes one look-up and a population count, and a step has a quarter of the levels that bits would need.
+    """
 
     def __init__(self, text: np.ndarray, depth: int):
         self.order = suffix_order(text, depth)
         last = text[self.order - 1].astype(np.uint32)  # the transform
-        self.n, self.bits = len(text), max(1, int(text.max()).bit_length())
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
-        counts = np.bincount(last, minlength=1 << self.bits)
+        bits = max(1, int(text.max()).bit_length())
+        self.shifts = [4 * k for k in reversed(range(-(-bits // 4)))]
+        counts = np.bincount(last, minlength=1 << 4 * len(self.shifts))
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        for level in reversed(range(self.bits)):
-            bit = ((last >> np.uint32(level)) & np.uint32(1)).astype(bool)
-            packed = np.packbits(np.concatenate([bit, np.zeros(64 + (-len(bit)) % 64, bool)]), bitorder="little").view(np.uint64)
-            total = np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))]).astype(np.int32)
-            self.levels.append((packed, total, int(len(bit) - bit.sum())))
-            last = np.concatenate([last[~bit], last[bit]])
-        # where each code's block begins in the last level
-        begin = np.zeros(1 << self.bits, np.int64)
-        codes = np.arange(1 << self.bits)
-        self.begin = self._walk(codes, begin)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for shift in self.shifts:
+            nibble = ((last >> np.uint32(shift)) & np.uint32(15)).astype(np.uint8)
+            whole = np.concatenate([nibble, np.zeros(16 + (-len(nibble)) % 16, np.uint8)]).reshape(-1, 16)
+            words_ = (whole[:, 0::2] | (whole[:, 1::2] << np.uint8(4))).copy().view("<u8")[:, 0]
+            of = np.bincount((np.arange(len(nibble)) >> 4) * 16 + nibble, minlength=16 * len(words_)).astype(np.int32).reshape(-1, 16)
+            before = np.zeros_like(of)
+            np.cumsum(of[:-1], axis=0, out=before[1:])
+            total = np.bincount(nibble, minlength=16)
+            before += (np.cumsum(total) - total).astype(np.int32)  # where the nibble's block begins in the next level
+            self.levels.append((words_, before.reshape(-1)))
+            last = last[np.argsort(nibble, kind="stable")]
+        # where each code's block begins after the last level, and in the order of suffixes
+        codes = np.arange(1 << 4 * len(self.shifts), dtype=np.int32)
+        self.move = self.first[:-1].astype(np.int32) - self._walk(codes, np.zeros(len(codes), np.int32))
 
     def _walk(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for level, (packed, total, zeros) in zip(reversed(range(self.bits)), self.levels):
-            w = at >> 6
-            ones = total[w] + np.bitwise_count(packed[w] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where((code >> level) & 1, zeros + ones, at - ones)
+        for shift, (words_, before) in zip(self.shifts, self.levels):
+            c = (code >> shift) & 15
+            w = at >> 4
+            x = words_[w] ^ _REPEATED[c]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            x = ~x & _ONES & _BELOW[at & 15]
+            at = before[(w << 4) + c] + np.bitwise_count(x)
         return at
 
     def step(self, code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of code + pattern from that of the pattern."""
-        both = self._walk(np.concatenate([code, code]), np.concatenate([lo, hi])) - np.concatenate([self.begin[code]] * 2) + np.concatenate([self.first[code]] * 2)
-        return both[: len(code)], both[len(code) :]
+        move = self.move[code]
+        both = self._walk(np.concatenate([code, code]), np.concatenate([lo, hi]))
+        return both[: len(code)] + move, both[len(code) :] + move
 
 
 def shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,28 +138,35 @@ def shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np
     """
     codes, text = np.unique(flat, return_inverse=True)
     total = len(flat) + len(begin)
+    text = text.astype(np.int32)
     joined = np.zeros(total, np.int64)  # code 0 ends each window
     where = np.repeat(np.arange(len(begin)), size)
     joined[np.arange(len(flat)) + where] = text + 1
-    own = np.empty(total, np.int64)
+    own = np.empty(total, np.int32)
     own[np.arange(len(flat)) + where] = owner[where]
     own[np.cumsum(size) + np.arange(len(begin))] = owner
+    del where
     ix = FMIndex(joined, int(size.max()) + 1)
+    del joined
     label = own[ix.order]
-    change = np.append(np.flatnonzero(label[1:] != label[:-1]) + 1, total)
-    change = change[np.searchsorted(change, np.arange(total), "right")]  # where the run of equal labels ends
+    new = label[1:] != label[:-1]
+    ends = np.append(np.flatnonzero(new) + 1, total).astype(np.int32)
+    run = np.zeros(total, np.int32)
+    np.cumsum(new, out=run[1:])
+    change = ends[run]  # where the run of equal labels ends
+    del own, new, run, ends
     # several documents have it: it is shared as a whole
     full = np.flatnonzero((owner < 0) & (size >= least))
     out = [(full, np.zeros(len(full), np.int64), size[full])]
     q = np.flatnonzero((owner >= 0) & (size >= least))
     end = size[q] - 1
-    i, lo, hi = end.copy(), np.zeros(len(q), np.int64), np.full(len(q), total, np.int64)
+    i, lo, hi = end.copy(), np.zeros(len(q), np.int32), np.full(len(q), total, np.int32)
     while len(q):
         code = text[begin[q] + i] + 1
         a, b = ix.step(code, lo, hi)
         safe = np.minimum(a, total - 1)
         ok = (b > a) & ((label[safe] != owner[q]) | (change[safe] < b))
-        lo, hi = np.where(ok, a, 0), np.where(ok, b, total)
+        lo, hi = np.where(ok, a, np.int32(0)), np.where(ok, b, np.int32(total))
         i = np.where(ok, i - 1, i)
         stop = ~ok | (i < 0)
         far = stop & (end - i >= least)
@@ -141,7 +174,7 @@ def shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np
             out.append((q[far], i[far] + 1, end[far] + 1))
         # a run that goes further left ends at most least - 1 words right of the mismatch
         end = np.where(stop, np.where(end - i >= least, np.minimum(end - 1, i + least - 1), end - 1), end)
-        lo, hi = np.where(stop, 0, lo), np.where(stop, total, hi)
+        lo, hi = np.where(stop, np.int32(0), lo), np.where(stop, np.int32(total), hi)
         on = ~(stop & ((end < least - 1) | (i < 0)))
         i = np.where(stop, end, i)
         q, end, i, lo, hi = q[on], end[on], i[on], lo[on], hi[on]
@@ -254,10 +287,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array((start[at] + np.repeat(a, n)).astype(np.int32)), pa.array((start[at] + np.repeat(z, n)).astype(np.int32))], ["doc_id", "first", "past"])
 
-    marked = written(keyed.mapInArrow(mark, "part int, rec binary").repartition(n_parts, "part").mapInArrow(twice, "id long, key long, pos binary, fp binary"))
+    marked = written(keyed.mapInArrow(lean(mark), "part int, rec binary").repartition(n_parts, "part").mapInArrow(lean(twice), "id long, key long, pos binary, fp binary"))
     of_doc = marked.groupBy("id", "key").agg(F.collect_list("pos").alias("pos"), F.collect_list("fp").alias("fp"))
-    cut = keyed.join(of_doc, ["id", "key"]).select("id", "text", "pos", "fp").mapInArrow(windows, "part int, id binary, start binary, size binary, words binary")
-    runs = cut.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(search, "doc_id long, first int, past int")
+    cut = keyed.join(of_doc, ["id", "key"]).select("id", "text", "pos", "fp").mapInArrow(lean(windows), "part int, id binary, start binary, size binary, words binary")
+    runs = cut.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(lean(search), "doc_id long, first int, past int")
     # overlapping and touching runs of a document are one
     w = Window.partitionBy("doc_id").orderBy("first", "past")
     before = F.max("past").over(w.rowsBetween(Window.unboundedPreceding, -1))
