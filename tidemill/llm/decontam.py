@@ -7,11 +7,13 @@ all within e diagonals of each other.  So: look up every q-gram of every whole d
 put the hits into overlapping diagonal bands, keep windows with at least t distinct q-grams in a band, and verify them by
 banded alignment.  No window that meets the edit budget is lost.
 
-The index is broadcast only in chunks of at most INDEX_BYTES of benchmark text; a larger benchmark takes several scans.
+The index is made and broadcast in chunks of at most INDEX_BYTES of benchmark text, one after another, at about 21 bytes of index a
+byte of text (a longer single item is a chunk of its own); a larger benchmark takes several scans.
 
 Cases: a null or empty text, or an item of less than q bytes, never matches; a null item id is no item; where
-the budget leaves less than one q-gram, it is lowered until one is left; repeated items give repeated
-(doc, item) rows once per id; extra columns are ignored by `leaks` and kept by `clean`; empty tables give no leaks.
+the budget leaves less than one q-gram, it is lowered until one is left; a null document id is kept, and very long texts are read whole; repeated
+rows each have their leaks, and repeated items give repeated (doc, item) rows; of windows that tie, the region covers all; extra
+columns are ignored by `leaks` and kept by `clean`; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, map_rows
+from .shared import ident, lean, map_rows
 from .words import WORD_BYTE, grams, pieces, raw
 
-Q, WINDOW, EDITS, INDEX_BYTES = 12, 64, 0.05, 32 << 20
+Q, WINDOW, EDITS, INDEX_BYTES = 12, 64, 0.05, 8 << 20
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ def build(ids: list[int], texts: list[str], q: int = Q, window: int = WINDOW, ed
     keys, begin = np.unique(h[at][order], return_index=True)
     bits = np.zeros(1 << 22, bool)
     bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-    return Index(np.array(ids, np.int64), data, first, size, n, e, least, keys, np.append(begin, len(at)), of[order], (at - first[of])[order], np.packbits(bits, bitorder="little"))
+    return Index(np.array(ids, np.int64), data, first, size, n, e, least, keys, np.append(begin, len(at)).astype(np.int32), of[order].astype(np.int32), (at - first[of])[order].astype(np.int32), np.packbits(bits, bitorder="little"))
 
 
 def banded(index: Index, data: np.ndarray, item: np.ndarray, ipos: np.ndarray, dpos: np.ndarray, slack: int) -> np.ndarray:
@@ -129,10 +131,10 @@ def find(index: Index, texts: pa.Array, q: int = Q) -> list[tuple[np.ndarray, ..
     hit, k = hit[same], k[same]
     if not len(hit):
         return []
-    count = index.begin[k + 1] - index.begin[k]
+    count = (index.begin[k + 1] - index.begin[k]).astype(np.int64)
     post = np.repeat(index.begin[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
     dpos = np.repeat(hit, count)
-    item, ipos = index.item[post], index.pos[post]
+    item, ipos = index.item[post].astype(np.int64), index.pos[post].astype(np.int64)
     # a row and item with fewer hits than the least count can't qualify
     pair = row[dpos] * len(index.ids) + item
     _, inv, cnt = np.unique(pair, return_inverse=True, return_counts=True)
@@ -189,27 +191,29 @@ def find(index: Index, texts: pa.Array, q: int = Q) -> list[tuple[np.ndarray, ..
     return result
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = INDEX_BYTES, **params) -> list[Index]:
-    """The benchmark's indexes, each of at most `limit` bytes of text (or one item)."""
-    found, ids, texts, size = [], [], [], 0
-    rows = benchmark.select(ident(id_col).cast("long").alias("i"), ident(text_col).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = INDEX_BYTES, **params) -> Iterator[Index]:
+    """The benchmark's indexes, each of at most `limit` bytes of text (or one item), one at a time."""
+    ids, texts, size = [], [], 0
+    rows = benchmark.select(ident(id_col).cast("long").alias("i"), ident(text_col).cast("string").alias("t"), F.octet_length(ident(text_col).cast("string")).alias("n")).where("i is not null and t is not null").orderBy("i", "t")
     for r in rows.toLocalIterator():
-        if ids and size + len(r.t) > limit:
-            found.append(build(ids, texts, **params))
+        if ids and size + r.n > limit:
+            yield build(ids, texts, **params)
             ids, texts, size = [], [], 0
         ids.append(r.i), texts.append(r.t)
-        size += len(r.t)
-    return found + ([build(ids, texts, **params)] if ids else [])
+        size += r.n
+    if ids:
+        yield build(ids, texts, **params)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, first, past, edits): bytes [first, past) of the lower-cased text hold verified windows of the item."""
     kind = "doc_id long, item_id long, first long, past long, edits int"
     spark = docs.sparkSession
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
     result = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, limit=limit):
         shared = spark.sparkContext.broadcast(index)
+        del index
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         r, i, a, z, e = zip(*got)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(i, pa.int64()), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(e, pa.int32())], ["doc_id", "item_id", "first", "past", "edits"])
 
-        one = narrow.mapInArrow(run, kind)
+        one = narrow.mapInArrow(lean(run), kind)
         result = one if result is None else result.unionByName(one)
     return result if result is not None else spark.createDataFrame([], kind)
 
@@ -229,6 +233,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
