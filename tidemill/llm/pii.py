@@ -16,8 +16,8 @@ that two languages share may get another pseudonym than the same date has in ful
 Not read: dates without separators (19840305), with the year first in two digits, with a two-digit year and one-digit parts between dots or
 hyphens, other languages and short names of months; national telephone numbers but North American ones; IPv6; SSNs without separators.
 
-Cases: a null text stays null; an empty text stays empty; whole texts are read, of any length; repeated rows are each
-rewritten alike; extra columns, of any name, are kept; an empty table stays empty.
+Cases: a null text stays null; an empty text stays empty; whole texts are read, and names of mail addresses, of any length; repeated rows are each
+rewritten alike; of patterns that begin at one place the first in the list above PATTERN counts; extra columns, of any name, are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -32,13 +33,14 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ident, map_rows
+from .shared import ident, lean, map_rows
 from .words import pieces, raw
 
-KEY, ROUNDS = b"tidemill-pseudonyms", 10
+ROUNDS = 10
+KEY_SETTING, DEMO_KEY = "spark.tidemill.pii.key", b"demonstration only"
 
 #: full names first, as a name is of the first table that has it; a dot after the day, or "de", puts German or Spanish first
 MONTHS = {
@@ -75,10 +77,18 @@ PATTERN = re.compile(
 )
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key in the session's setting KEY_SETTING.  Without it a public one, by which anyone can invert the pseudonyms: for tests alone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key", stacklevel=2)
+    return key.encode() if key else DEMO_KEY
+
+
 class Cipher:
-    """A keyed permutation of range(size) for every kind and size."""
+    """A keyed permutation of range(size) for every kind and size, and one of strings over an alphabet for each place."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, tweak: bytes, r: int, x: int) -> int:
@@ -111,6 +121,19 @@ class Cipher:
                 return x
 
 
+    def permute_places(self, x: np.ndarray, sizes: np.ndarray, tweak: bytes, back: bool = False) -> np.ndarray:
+        """Feistel over the two halves of a string of numbers x[i] in range(sizes[i]), in time linear in its length."""
+        cut, x = (len(x) + 1) // 2, x.astype(np.int64)
+        halves, bounds = [x[:cut].copy(), x[cut:].copy()], [sizes[:cut], sizes[cut:]]
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            own, other = i % 2, 1 - i % 2
+            n = len(halves[own])
+            stream = hashlib.shake_256(self.key + b"%d:%d/" % (len(tweak), i) + tweak + halves[other].astype("<i2").tobytes()).digest(8 * n)
+            add = (np.frombuffer(stream, "<u8") % bounds[own].astype(np.uint64)).astype(np.int64)
+            halves[own] = (halves[own] + (-add if back else add)) % bounds[own]
+        return np.concatenate(halves)
+
+
 def luhn_digit(digits: str) -> str:
     """The check digit of a payload."""
     total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
@@ -231,27 +254,23 @@ def pseudonym(kind: str, value: str, cipher: Cipher, back: bool = False) -> str
         x = int.from_bytes(bytes(octets), "big")
         return ".".join(map(str, cipher.permute(x, 1 << 32, b"ip", back).to_bytes(4, "big")))
     local, host = value.split("@", 1)
-    x, size = 0, 1
-    for ch in local:
-        n = 10 if ch.isdigit() else 26 if ch.isalpha() else 1
-        size *= n
-        x = x * n + (int(ch) if n == 10 else ord(ch.lower()) - 97 if n == 26 else 0)
-    if size < 2:
+    c = np.frombuffer(local.encode("ascii"), np.uint8).astype(np.int64)
+    digit, upper, lower = (c >= 48) & (c < 58), (c >= 65) & (c < 91), (c >= 97) & (c < 123)
+    base = np.select([digit, upper, lower], [48, 65, 97], 0)
+    at = np.flatnonzero(base)
+    if not len(at):
         return None
-    shape = re.sub(r"[a-z]", "a", re.sub(r"\d", "0", local.lower()))
-    x = cipher.permute(x, size, b"mail" + host.lower().encode() + b"/" + shape.encode(), back)
-    out = []
-    for ch in reversed(local):
-        n = 10 if ch.isdigit() else 26 if ch.isalpha() else 1
-        x, d = divmod(x, n)
-        out.append(str(d) if n == 10 else chr(d + (65 if ch.isupper() else 97)) if n == 26 else ch)
-    return "".join(reversed(out)) + "@" + host
+    shape = np.select([digit, upper | lower], [48, 97], c).astype(np.uint8).tobytes()
+    new = cipher.permute_places((c - base)[at], np.where(digit, 10, 26)[at], b"mail" + host.lower().encode() + b"/" + shape, back)
+    c[at] = base[at] + new
+    return c.astype(np.uint8).tobytes().decode() + "@" + host
 
 
-def rewriter(key: bytes = KEY, back: bool = False) -> Callable[[str], tuple[str, int]]:
+def rewriter(key: bytes, back: bool = False) -> Callable[[str], tuple[str, int]]:
     """text -> (text with pseudonyms, number of values)."""
     cipher = Cipher(key)
-    known = lru_cache(1 << 16)(lambda kind, value: pseudonym(kind, value, cipher, back))
+    kept = lru_cache(1 << 16)(lambda kind, value: pseudonym(kind, value, cipher, back))
+    known = lambda kind, value: kept(kind, value) if len(value) < 256 else pseudonym(kind, value, cipher, back)
 
     def of(text: str) -> tuple[str, int]:
         n, out, done, at = 0, [], 0, 0
@@ -294,8 +313,9 @@ def _rewrite(column: pa.Array, of: Callable[[str], tuple[str, int]]) -> tuple[pa
     return column, found
 
 
-def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, n_values) of every row: its rewritten text and how many values were replaced."""
+def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
+    """(doc_id, text, n_values) of every row: its rewritten text and how many values were replaced.  key: else that of the session (`key_of`)."""
+    key = key or key_of(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = rewriter(key)
@@ -305,11 +325,12 @@ def pseudonyms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0), text.cast(pa.string()), pa.array(found)], ["doc_id", "text", "n_values"])
 
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, text string, n_values int")
+    return narrow.mapInArrow(lean(run), "doc_id long, text string, n_values int")
 
 
-def rewrite(docs: DataFrame, text_col: str = "text", key: bytes = KEY, back: bool = False) -> DataFrame:
-    """docs, all columns and rows, with pseudonyms in its text (back: with the values again)."""
+def rewrite(docs: DataFrame, text_col: str = "text", key: bytes | None = None, back: bool = False) -> DataFrame:
+    """docs, all columns and rows, with pseudonyms in its text (back: with the values again).  key: else that of the session (`key_of`)."""
+    key = key or key_of(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
