@@ -6,7 +6,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import cast, contract, loader, media, order, policy, text
+from tidemill.operators import adapters, blend, cast, contract, loader, media, order, policy, text
 from tidemill.sources import catalog, episodes, shared, view
 from tidemill.streaming.growing import LoaderState
 
@@ -221,3 +221,24 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session())
+
+
+def test_adapters_keep_what_is_there(spark):
+    df = spark.createDataFrame([(1, [5, 0], [1, 0], "x")], "k int, input_ids array<int>, loss_mask array<int>, extra string")
+    r = adapters.adapt(df, "pretrain", ["k"]).first()
+    assert r.asDict() == {"k": 1, "input_ids": [5, 0], "loss_mask": [True, False], "labels": [5, 0], "source_tag": "pretrain_pad"}
+    assert adapters.adapt(df.drop("loss_mask").withColumn("labels", F.array(F.lit(9))), "pretrain").first().asDict() == {"input_ids": [5, 0], "labels": [9], "loss_mask": [True, False], "source_tag": "pretrain_pad"}
+    for bad in (lambda: adapters.adapt(df, "none"), lambda: adapters.adapt(df.drop("input_ids"), "val")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(TypeError):
+        adapters.adapt(df.withColumn("loss_mask", F.lit(1)), "val")
+
+
+def test_positions_with_far_outliers_and_bad_schedules(spark):
+    df = spark.range(3000).union(spark.createDataFrame([(10**17,), (-(10**17),)], "id long"))
+    got = [r.id for r in order.by_number(df, "id").orderBy("pos").collect()]
+    assert got == [-(10**17), *range(3000), 10**17]
+    for bad in ([(True, 1.0)], [(1.5, 1.0)], [(-1, 1.0)]):
+        with pytest.raises(ValueError):
+            blend.resolve_points(bad, 100)

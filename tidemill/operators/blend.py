@@ -58,6 +58,9 @@ def resolve_points(points: Sequence[tuple[float | int, float]], max_steps: int)
     """(step, weight) in order: integers are steps, floats from 0 to 1 are fractions, rounded half to even; the first of equal steps stays."""
     if not points:
         raise ValueError("a schedule needs points")
+    for s, _ in points:
+        if isinstance(s, bool) or s < 0 or (isinstance(s, float) and s > 1):
+            raise ValueError(f"{s} is neither a step nor a fraction")
     steps: dict[int, float] = {}
     for s, w in sorted(((s if isinstance(s, int) else round(s * max_steps), w) for s, w in points), key=lambda x: x[0]):
         steps.setdefault(s, float(w))

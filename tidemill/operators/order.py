@@ -38,12 +38,14 @@ def by_digest(df: DataFrame, digest: Column, *ties: Column, name: str = "pos") -
 
 
 def by_number(df: DataFrame, column: str, *ties: Column, name: str = "pos") -> DataFrame:
-    """Positions in the order of an integer column; equal ranges of its values are the buckets."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None:
+    """Positions in the order of an integer column; the buckets are equal ranges of its values, but for the outermost ones, which take what is far off."""
+    ends = df.agg(F.percentile_approx(column, [0.0005, 0.9995], 10_000)).first()[0]
+    if ends is None:
         return df.withColumn(name, F.lit(None).cast("long")).where("false")
-    width = max(1, -(-(high - low + 1) // BUCKETS))
-    return numbered(df, F.floor((F.col(column) - F.lit(low)) / F.lit(width)), [F.col(column), *ties], name)
+    low, high = ends
+    width = max(1, -(-(high - low + 1) // (BUCKETS - 2)))
+    bucket = F.floor((F.col(column) - F.lit(low)) / F.lit(width)) + 1
+    return numbered(df, F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), bucket)), [F.col(column), *ties], name)
 
 
 def permutation(df: DataFrame, ident: str, seed: int = 42, epoch: int = 0, name: str = "pos") -> DataFrame:

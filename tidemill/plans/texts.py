@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blend, order
+from ..operators import adapters, blend, order
 from ..operators import text as X
 from ..sources.shared import written
 from .registry import query, t
@@ -86,19 +86,14 @@ def causal_labels(spark, d):
     return ids(spark, d).select("doc_id", F.col("ids").alias("input_ids"), F.col("ids").alias("labels")).select("doc_id", joined("input_ids"), joined("labels"))
 
 
-def adapted(df, tag, mask):
-    """drop extras, labels, mask, tag."""
-    return df.select("doc_id", "input_ids").withColumn("labels", F.col("input_ids")).withColumn("loss_mask", mask(F.col("input_ids"))).withColumn("source_tag", F.lit(tag))
-
-
 @query(f"select doc_id, array_to_string(input_ids, ' ') as input_ids, array_to_string(input_ids, ' ') as labels, {MASK} as loss_mask, 'pretrain_pad' as source_tag from {PADDED}")
 def adapt_pretrain(spark, d):
-    return adapted(padded(spark, d), "pretrain_pad", X.pad_mask).select("doc_id", joined("input_ids"), joined("labels"), joined("loss_mask"), "source_tag")
+    return adapters.adapt(padded(spark, d), "pretrain", ["doc_id"]).select("doc_id", joined("input_ids"), joined("labels"), joined("loss_mask"), "source_tag")
 
 
 @query(f"select doc_id, array_to_string(ids, ' ') as input_ids, array_to_string([1 for x in ids], ' ') as loss_mask, 'val_full' as source_tag from {IDS}")
 def adapt_val(spark, d):
-    return adapted(ids(spark, d).withColumnRenamed("ids", "input_ids"), "val_full", X.full_mask).select("doc_id", joined("input_ids"), joined("loss_mask"), "source_tag")
+    return adapters.adapt(ids(spark, d).withColumnRenamed("ids", "input_ids"), "val", ["doc_id"]).select("doc_id", joined("input_ids"), joined("loss_mask"), "source_tag")
 
 
 PAIRS = "(select a.conv_id, a.turn, a.text as query, b.text as response from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant')"
@@ -140,9 +135,10 @@ def chat_dataset(spark, d):
     return p.withColumn("worker", F.pmod("pos", F.lit(4)).cast("int"))
 
 
-@query(f"select conv_id, turn, array_to_string(tokens, ' ') as tokens, loss_mask, 'chat_query' as source_tag from {KEPT}")
+@query(f"select conv_id, turn, array_to_string(tokens, ' ') as tokens, array_to_string(tokens, ' ') as labels, loss_mask, 'chat_query' as source_tag from {KEPT}")
 def adapt_chat(spark, d):
-    return chat_template(spark, d).withColumn("source_tag", F.lit("chat_query"))
+    got = adapters.adapt(templated(spark, d).withColumnRenamed("tokens", "input_ids"), "chat", ["conv_id", "turn"])
+    return got.select("conv_id", "turn", F.array_join("input_ids", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"), joined("loss_mask"), "source_tag")
 
 
 @query("select doc_id, lang, source, source as source_tag from documents")
