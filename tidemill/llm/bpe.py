@@ -2,7 +2,7 @@
 
 Encoding: whole texts are cut into words by the vocabulary's pattern; the COMMON words of a sample are folded once for all
 tasks; a task numbers its other distinct words as they come (anew after KNOWN of them), and sends each once; Spark higher-order functions fold the ranked merges over the byte array of each; the words' ids are then laid
-out along the texts.  The rank map is a literal: sparse rows of a matrix displaced into one array of longs, so a look-up is two array reads.
+out along the texts.  The rank map is a literal row: sparse rows of a matrix displaced into one array of longs, so a look-up is two array reads.
 A pair (a, b) of token ids maps to the id of the joined token, whose id is its rank.  A row holds about BLOCK_BYTES of text and at
 most ROW_WORDS words, so memory doesn't follow the size of a partition.  The texts are not shuffled, and nothing broadcast grows with the corpus.
 Words over LONG bytes, for which a fold's copying would be quadratic, are merged by a heap, with equal results.
@@ -25,16 +25,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ident, lean, parts, written
+from .shared import ident, lean, parts, release, written
 from .words import pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG, BLOCK_BYTES, ROW_WORDS, KNOWN = 256, 1 << 20, 1 << 15, 300_000
-COMMON, SAMPLE_BYTES = 300_000, 64 << 20  #: words folded once for all tasks, and the bytes of text in which they are looked for
+COMMON, SAMPLE_BYTES = 200_000, 64 << 20  #: words folded once for all tasks, and the bytes of text in which they are looked for
 _BITS, _EMPTY = 21, 1 << 62
 _NONE = (1 << _BITS) - 1
 
@@ -49,7 +49,9 @@ def load(path: str = VOCABULARY) -> dict[bytes, int]:
 def _loaded(path: str):
     """(ranks, folder) of a vocabulary; made once for a driver."""
     ranks = load(path)
-    return ranks, folder(ranks)
+    made = ranks, folder(ranks)
+    release()
+    return made
 
 
 def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
@@ -99,16 +101,12 @@ def displaced(pairs: dict[tuple[int, int], int], n_ids: int) -> tuple[np.ndarray
     return offset, table[: empty + n_ids + 2]
 
 
-def _longs(values) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def folder(ranks: dict[bytes, int]):
-    """The literal rank map, and a function from it and the byte array of a word to the word's items: a fold of the ranked merges.
+    """The rank map, as columns of one row, and a function from it and the byte array of a word to the word's items: a fold of the ranked merges.
 
     The byte array is that of `bigrams`: each cell holds a byte and the one after it.  An item is a token of the word so far: the id that it
     would have if merged with the next one, its place, and its own id, 21 bits each, so the least item is the leftmost pair of the least rank.
-    The map is large, so an expression should hold it once: bind it to a lambda variable, as `encode` does.
+    The map is large, so an expression should hold it once: bind it to a lambda variable, as `_folded` does.
     """
     n_ids = max(ranks.values()) + 1
     assert n_ids < _NONE
@@ -117,7 +115,7 @@ def folder(ranks: dict[bytes, int]):
     own = [ranks[bytes([i])] for i in range(256)]
     first = [(pairs.get((a, b), _NONE) << 2 * _BITS) | a for a in own for b in own]
     first += [(_NONE << 2 * _BITS) | a for a in [*own, n_ids]]  # the last byte of a word, and the guard
-    literal = F.struct(_longs(offset).alias("offset"), _longs(table).alias("table"), _longs(first).alias("first"))
+    row = pa.table({k: pa.array([v], pa.list_(pa.int64())) for k, v in (("offset", offset), ("table", table), ("first", first))})
     none, past = F.lit(_NONE).cast("long"), F.lit(_NONE << 2 * _BITS).cast("long")
 
     def let(value: Column, body) -> Column:
@@ -152,7 +150,7 @@ def folder(ranks: dict[bytes, int]):
         start = F.transform(word, lambda c, i: F.get(m["first"], c) + F.shiftleft(i.cast("long"), _BITS))
         return F.aggregate(F.slice(word, F.lit(3), F.lit(1 << 30)), start, lambda items, _: merge(m, items))
 
-    return literal, of
+    return row, of
 
 
 def bigrams(words_: list[bytes]) -> pa.ListArray:
@@ -237,15 +235,21 @@ def common(narrow: DataFrame, vocabulary: str, pattern: str, long: int) -> tuple
 
     sample = narrow.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(100_000)) < share).select("text")
     top = written(sample.mapInArrow(lean(counts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word"))
-    folded = top.repartition(parts(narrow.sparkSession)).mapInArrow(rows, "text array<string>, words array<array<int>>").select("text", _folded(vocabulary).alias("items"))
+    folded = _folded(top.repartition(parts(narrow.sparkSession)).mapInArrow(rows, "text array<string>, words array<array<int>>"), vocabulary).select("text", "items")
     got = folded.mapInArrow(flat, "text array<string>, ids array<int>, n array<long>").toArrow()
     text, ids, n = (pa.concat_arrays([c.flatten() for c in got[k].chunks]) if len(got) else pa.array([], kind) for k, kind in (("text", pa.string()), ("ids", pa.int32()), ("n", pa.int64())))
     return text, ids.to_numpy(), n.to_numpy()
 
 
-def _folded(vocabulary: str) -> Column:
-    literal, fold = _loaded(vocabulary)[1]
-    return F.get(F.transform(F.array(literal), lambda m: F.transform("words", lambda w: fold(m, w))), 0)
+def _folded(df: DataFrame, vocabulary: str) -> DataFrame:
+    """df with the items of its column `words`.  The rank map is a literal relation of one row, which a scalar subquery binds to a variable of the fold.
+
+    As a literal inside the expression it would be printed, 4 MB at a time, in every description of the plan that the driver keeps.
+    """
+    row, fold = _loaded(vocabulary)[1]
+    ranks = df.sparkSession.createDataFrame(row).select(F.struct(*row.column_names)).scalar()
+    items = F.get(F.transform(F.array("ranks"), lambda m: F.transform("words", lambda w: fold(m, w))), 0)
+    return df.withColumn("ranks", ranks).withColumn("items", items).drop("ranks", "words")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, long: int, base: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -338,20 +342,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     blocks = narrow.mapInArrow(lean(lambda it: _blocks(it, pattern, long, base.value[0])), "fresh boolean, id array<long>, crc array<long>, n array<int>, words array<array<int>>, long array<binary>, at binary")
     # a word over `long` bytes has an empty array here
-    return blocks.select("fresh", "id", "crc", "n", "at", _folded(vocabulary).alias("items"), "long").mapInArrow(lean(lay_out), "doc_id long, ids array<int>, n_tokens int, crc long")
+    return _folded(blocks, vocabulary).select("fresh", "id", "crc", "n", "at", "items", "long").mapInArrow(lean(lay_out), "doc_id long, ids array<int>, n_tokens int, crc long")
 
 
-def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
-    """The bytes of a column of token ids: the concatenation of their binary pieces, each held as a string of Latin-1."""
+def decoded(df: DataFrame, column: str = "ids", name: str = "bytes", vocabulary: str = VOCABULARY) -> DataFrame:
+    """df with the bytes of a column of token ids: the concatenation of their binary pieces, each held as a string of Latin-1 in a literal row."""
     ranks, _ = _loaded(vocabulary)
     by_id = [""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
         by_id[r] = token.decode("latin-1")
-    pieces_ = F.split(F.lit("\u0100".join(by_id)), "\u0100")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(pieces_, i + 1)), ""), "ISO-8859-1")
+    row = pa.table({"piece": pa.array([by_id], pa.list_(pa.string()))})
+    joined = F.get(F.transform(F.array("pieces"), lambda p: F.array_join(F.transform(column, lambda i: F.element_at(p, i + 1)), "")), 0)
+    return df.withColumn("pieces", df.sparkSession.createDataFrame(row).scalar()).withColumn(name, F.encode(joined, "ISO-8859-1")).drop("pieces")
 
 
 def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every row; round_trip: its ids decode to the bytes that were encoded."""
-    got = encode(docs, id_col, text_col, vocabulary)
-    return got.select("doc_id", "ids", "n_tokens", (F.crc32(decoded(F.col("ids"), vocabulary)) == F.col("crc")).alias("round_trip"))
+    got = decoded(encode(docs, id_col, text_col, vocabulary), "ids", "bytes", vocabulary)
+    return got.select("doc_id", "ids", "n_tokens", (F.crc32("bytes") == F.col("crc")).alias("round_trip"))
