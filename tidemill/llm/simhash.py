@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import Forest, per_document
@@ -234,20 +234,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
     Of rows that repeat an id, one stays (the least text).  Rows without an id, and texts without words, are kept.
     """
     found = written(near_classes(docs, id_col, text_col, radius, ratio))
-    drop = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_drop_id")).distinct()
-    twice = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice_id")))
-    key = ident(id_col).cast("long")
-    kept = docs.join(drop, key == F.col("_drop_id"), "left_anti")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, key == F.col("_twice_id"), "left_anti")
-    rest = _least(kept.join(twice, key == F.col("_twice_id"), "left_semi"), key, docs.columns, text_col)
-    return once.unionByName(rest)
-
-
-def _least(rows: DataFrame, key, names: list[str], text_col: str) -> DataFrame:
-    """Of rows with one key, the one with the least text (nulls first), then the least JSON of the row."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(ident(text_col), F.to_json(F.struct(*[ident(c) for c in names])))
-    return rows.withColumn("_rank_in_id", F.row_number().over(w)).where("_rank_in_id = 1").drop("_rank_in_id")
+    safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns may have any name
+    id_, text = (safe[f"c{docs.columns.index(c)}"] for c in (id_col, text_col))
+    drop = found.where("doc_id <> class_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    twice = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")))
+    kept = safe.join(drop, id_.cast("long") == F.col("drop_id"), "left_anti")
+    if not twice.isEmpty():
+        # of rows with one id, the one with the least text (nulls first), then the least JSON of the row
+        many = kept.join(twice, id_.cast("long") == F.col("twice_id"), "left_semi")
+        w = Window.partitionBy(id_.cast("long")).orderBy(text, F.to_json(F.struct(*safe.columns)))
+        rest = many.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+        kept = kept.join(twice, id_.cast("long") == F.col("twice_id"), "left_anti").unionByName(rest)
+    return kept.toDF(*docs.columns)
