@@ -42,6 +42,40 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert enc.decode(got[204]).count("4111111111111111") == 0
 
 
-def test_stages_but_the_last_return_the_columns_of_documents(spark):
+def tables(spark, path, rows, kind=DOCS, labels=(), items=()):
+    spark.createDataFrame(rows, kind).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return spark.read.parquet(str(path / "documents.parquet"))
+
+
+def test_stages_but_the_last_return_the_columns_of_documents(spark, tmp_path):
+    rng = random.Random(18)
+    # names that the stages use themselves, twice in other case, and with dots
+    kind = "doc_id long, text string, n_chars long, id int, fp int, class_id int, _drop_id int, `key.x` string, toxic int"
+    long = prose(rng, 40_000) + " 4111111111111111"
+    texts = [prose(rng, 50) for _ in range(30)] + [None, "", long, long + " x"]
+    rows = [(i, t, len(t or ""), i, 1, 2, 3, "k", 0) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], 1, 0, 0, 0, 0, "again", 0), (4, texts[5], 1, 0, 0, 0, 0, "other", 0), (None, texts[0], 1, 0, 0, 0, 0, "null", 0), (None, None, 1, 0, 0, 0, 0, "null", 0)]
+    docs = tables(spark, tmp_path, rows, kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0].strip("`") for c in kind.split(", ")]
+    kept = docs.collect()
+    ids = sorted(r.doc_id for r in kept if r.doc_id is not None)
+    # document 4 and 5 are one group, by the second row of 4; 33 is a near copy of 32
+    assert ids == [i for i in range(33) if i != 5] and sum(r.doc_id is None for r in kept) == 2
+    one = next(r for r in kept if r.doc_id == 32)
+    assert "4111111111111111" not in one.text and len(one.text) == len(long) == one.n_chars and next(r for r in kept if r.doc_id == 30).text is None
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "ids", "n_tokens", "round_trip"] and got.count() == len(kept) and got.where("not round_trip").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "decontamination", "pii", "bpe"]
     assert corpus_pipeline.ORACLE_SQL is None

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident
+from .shared import ident, lean
 from .words import pieces, words
 
 COVERAGE, SLACK = 0.8, 4
@@ -141,7 +141,7 @@ def frequencies(docs: DataFrame, keys: np.ndarray, text_col: str = "text") -> np
                 total += np.bincount(pair % len(keys), minlength=len(keys))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys))), pa.array(total)], ["k", "n"])
 
-    got = docs.select(ident(text_col).cast("string").alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(ident(text_col).cast("string").alias("text")).mapInArrow(lean(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(keys), np.int64)
     for r in got:  # as many rows as the templates have words
         df[r.k] = r.n
@@ -265,4 +265,4 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array([t.names[x] for x in i]), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(c, pa.float64())], ["doc_id", "license", "first", "past", "coverage"])
 
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, license string, first int, past int, coverage double")
+    return narrow.mapInArrow(lean(run), "doc_id long, license string, first int, past int, coverage double")

@@ -14,7 +14,7 @@ x = sum(lambda S_i - ln n) over the segments that raise it, the tail is exp(-x)
 
 Cases: a null or empty text has no segment and p-value 1; labels that are null are not used; several labels of
 a document count as toxic if one is; with no toxic or no clean training text, or no significant token, nothing is
-flagged; repeated rows are scored each; training texts with the same sequence of words count once, as toxic if one
+flagged; of segments that tie the first is taken; very long texts are scanned whole; repeated rows are scored each; training texts with the same sequence of words count once, as toxic if one
 of them is, and all others count each; extra columns are kept by `reject` and ignored elsewhere.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, map_rows
+from .shared import ident, lean, map_rows
 from .words import mix, pieces, words
 
 MAX_TRAIN = 20_000  #: bound of the labelled sample that the model is fitted on
@@ -81,7 +81,7 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ma
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(2), tokens.cast(pa.list_(pa.int64()))], ["key", "toxic", "tokens"])
 
     # the sample is bounded by max_train rows of two numbers
-    return narrow.join(F.broadcast(sample), "id").select("id", "text", "toxic").mapInArrow(run, "key binary, toxic int, tokens array<long>")
+    return narrow.join(F.broadcast(sample), "id").select("id", "text", "toxic").mapInArrow(lean(run), "key binary, toxic int, tokens array<long>")
 
 
 def _root(p: np.ndarray, s: np.ndarray) -> float:
@@ -230,7 +230,7 @@ def passages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(p < P_VALUE), pa.array(n.astype(np.int32)), segs], ["doc_id", "p_value", "toxic", "n_words", "segments"])
 
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, p_value double, toxic boolean, n_words int, segments array<struct<first:int,past:int,score:double,e_value:double>>")
+    return narrow.mapInArrow(lean(run), "doc_id long, p_value double, toxic boolean, n_words int, segments array<struct<first:int,past:int,score:double,e_value:double>>")
 
 
 def reject(docs: DataFrame, model: Model | None, text_col: str = "text", p_value: float = P_VALUE) -> DataFrame:
