@@ -1,4 +1,11 @@
-"""A corpus pipeline: toxicity, near-duplicates, decontamination, pseudonyms, tokens.  Each stage is written as Parquet and read again."""
+"""A corpus pipeline: toxicity, near-duplicates, decontamination, pseudonyms, tokens.  Each stage is written as Parquet and read again.
+
+Cases, of all stages: a null or empty text is clean, has no copies, and is kept, with null ids or none at the end; a row with a null
+doc_id is judged by its text alone, and is nobody's copy; of rows that repeat a doc_id one stays (of those that are clean, that with the least
+text); of documents that tie as copies the least doc_id stays; very long texts are read whole; columns beside doc_id and text are kept, whatever
+their names, up to the last stage, and n_chars, if there, follows the text; an empty table gives no rows; without a toxic and a clean label nothing
+is rejected as toxic, and without benchmark items nothing as a leak.
+"""
 
 from __future__ import annotations
 
