@@ -9,7 +9,10 @@ is in at least `support` of them, and the text in at least `constant` of those;
 texts are content.  script, style, and other elements without visible text never are.  A host of fewer than `least_pages`
 pages shows no variation, so everything visible is content.
 
-Pages are parsed once; reference trees travel by a join on host and layout, and counts by one aggregation over slots and texts: no task ever holds all pages of a host.
+References, and the texts found constant, go to every task if they have at most SMALL_BYTES, and pages stay where they are (they are parsed twice, once to
+choose references); else both travel by joins on host and layout.  Texts are counted in two steps, first in BUCKETS for each slot, then one by one
+in the buckets that can hold a constant text, so what travels is of the size of the template, and no task ever holds all pages of a host.
+Very long pages are read whole; the matching takes time in the product of the numbers of those siblings that aren't equal at the beginning or end of their lists.
 
 Cases: a null or empty page, or one without visible text, has empty content; a page without a host (null or odd url) forms a host ""; malformed HTML
 is read as browsers do in the main: unclosed elements close with their parents; null page ids are kept; repeated rows are each
@@ -21,22 +24,26 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, written
+from .shared import ident, lean, written
 
 SUPPORT, CONSTANT, LEAST_PAGES, DEPTH = 0.5, 0.5, 3, 200
 LEVELS = 4  #: root, html, body and its blocks
+SMALL = 64  #: nodes of a subtree whose score is kept for other pages
+BUCKETS = 64  #: of texts of a slot, counted together first
+SMALL_BYTES = 16 << 20  #: what is broadcast has at most so many bytes
+_KIND = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style template noscript iframe svg head".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+_LIST_STOP, _BLOCK_STOP, _P = frozenset(("ul", "ol", "table", "dl", "div", "article", "section")), frozenset(("table", "li", "td", "div", "article", "section")), {"p"}
 _SEPARATOR = re.compile(r"(?<=\s)[|\u00b7\u2022\u00bb\u203a](?=\s)")
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -46,7 +53,7 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.label, self.parent, self.text, self.path = ["#root"], [-1], [""], [0]
+        self.label, self.parent, self.text, self.path, self.tags = ["#root"], [-1], [""], [0], ["#root"]
         self.lang = ""
 
     def _add(self, label: str, text: str = "") -> int:
@@ -54,30 +61,32 @@ class _Tree(HTMLParser):
         return len(self.label) - 1
 
     def _pop(self, tags: set[str], stop: frozenset[str]) -> None:
-        for k in range(len(self.path) - 1, 0, -1):
-            tag = self.label[self.path[k]].split(".", 1)[0]
+        open_ = self.tags
+        for k in range(len(open_) - 1, 0, -1):
+            tag = open_[k]
             if tag in tags:
-                del self.path[k:]
+                del self.path[k:], open_[k:]
                 return
             if tag in stop:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES:
-            self._pop(_CLOSES[tag], frozenset(("ul", "ol", "table", "dl", "div", "article", "section")))
+            self._pop(_CLOSES[tag], _LIST_STOP)
         elif tag in _BLOCK:
-            self._pop({"p"}, frozenset(("table", "li", "td", "div", "article", "section")))
-        kind = next((v for k, v in attrs if k == "class" and v), "")
+            self._pop(_P, _BLOCK_STOP)
+        kind = next((v for k, v in attrs if k == "class" and v), "") if attrs else ""
         if tag == "html" and not self.lang:
             self.lang = next((v.lower() for k, v in attrs if k == "lang" and v), "")
         node = self._add(f"{tag}.{kind}" if kind else tag)
         if tag not in _VOID and len(self.path) < DEPTH:
-            self.path.append(node)
+            self.path.append(node), self.tags.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.path) - 1, 0, -1):
-            if self.label[self.path[k]].split(".", 1)[0] == tag:
-                del self.path[k:]
+        open_ = self.tags
+        for k in range(len(open_) - 1, 0, -1):
+            if open_[k] == tag:
+                del self.path[k:], open_[k:]
                 return
 
     def handle_data(self, data: str) -> None:
@@ -118,11 +127,15 @@ def paths(tree: Tree) -> list[int]:
 
 def layout(tree: Tree, lang: str) -> int:
     """The hash of a page's language and of the set of its elements' paths down to LEVELS."""
-    depth, own = [], set()
-    for label, parent, path in zip(tree[0], tree[1], paths(tree)):
-        depth.append(depth[parent] + 1 if parent >= 0 else 1)
-        if depth[-1] <= LEVELS and label != "#":
+    label, parent, _ = tree
+    top: dict[int, tuple[int, int]] = {0: (1, _hash(label[0]))}  # depth and path of the nodes down there
+    own = {top[0][1]} if label[0] != "#" else set()
+    for i in range(1, len(label)):
+        above = top.get(parent[i])
+        if above is not None and above[0] < LEVELS and label[i] != "#":
+            path = _hash(label[i], above[1])
             own.add(path)
+            top[i] = above[0] + 1, path
     return _hash(f"{lang} {sorted(own)}")
 
 
@@ -142,53 +155,109 @@ def _children(parent: list[int]) -> list[list[int]]:
     return out
 
 
-def align(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """The node pairs of a largest simple tree matching of a and b; of equal ones that with equal texts, then earlier ones."""
-    ca, cb = _children(a[1]), _children(b[1])
+def subtrees(tree: Tree) -> tuple[list[list[int]], list[int], list[int], list[int], list[set | None]]:
+    """(children, hash, size, hash of the labels alone, texts unless it has over SMALL nodes) of each node's subtree; for comparison inside a process."""
+    label, _, text = tree
+    children, n = _children(tree[1]), len(label)
+    size, same, shape = [1] * n, [0] * n, [0] * n
+    texts: list[set | None] = [None] * n
+    for i in range(n - 1, -1, -1):
+        own = children[i]
+        if own:
+            same[i], shape[i] = hash((label[i], text[i], *[same[k] for k in own])), hash((label[i], *[shape[k] for k in own]))
+            for k in own:
+                size[i] += size[k]
+            if size[i] <= SMALL:
+                texts[i] = set().union(*[texts[k] for k in own])
+        else:
+            same[i], shape[i], texts[i] = hash((label[i], text[i])), hash(label[i]), {text[i]} if text[i] else set()
+    return children, same, size, shape, texts
+
+
+#: score of pairs of small shapes without a common text
+_shapes: dict[tuple[int, int], int] = {}
+
+
+def align(a: Tree, b: Tree, above: tuple | None = None) -> list[tuple[int, int]]:
+    """The node pairs of a largest simple tree matching of a and b; of equal ones one with most equal texts.  above: subtrees(a).
+
+    Children whose subtrees are equal, at the beginning or the end of both lists, are matched at once: no other matching of them can be larger.
+    """
+    ca, sa, na, ha, xa = above or subtrees(a)
+    cb, sb, _, hb, xb = subtrees(b)
     la, lb, ta, tb = a[0], b[0], a[2], b[2]
     memo: dict[tuple[int, int], tuple] = {}
     one = 1 << 32  # a score is an integer: pairs in the high bits, equal texts in the low ones
+    both = one + 1
 
     def score(x: int, y: int) -> int:
-        """The best matching of the subtrees of x and y, whose labels are equal and of which one has children."""
+        """The best matching of the subtrees of x and y, whose labels are equal."""
+        if sa[x] == sb[y]:
+            return na[x] * both
+        xs, ys = ca[x], cb[y]
+        own = one + (ta[x] == tb[y])
+        if not xs or not ys:
+            return own
+        if xa[x] is not None and xb[y] is not None and xa[x].isdisjoint(xb[y]):  # then the shapes alone count
+            got = _shapes.get((ha[x], hb[y]))
+            if got is None:
+                if len(_shapes) > 1 << 16:
+                    _shapes.clear()
+                got = _shapes[ha[x], hb[y]] = full(x, y)
+            return got
+        return full(x, y)
+
+    def full(x: int, y: int) -> int:
+        """score, of nodes with children whose subtrees differ; keeps its table for the way back."""
         got = memo.get((x, y))
         if got is not None:
             return got[0]
-        above = [0] * (len(cb[y]) + 1)
+        xs, ys = ca[x], cb[y]
+        own = one + (ta[x] == tb[y])
+        head, p, q = 0, len(xs), len(ys)
+        while head < p and head < q and sa[xs[head]] == sb[ys[head]]:
+            head += 1
+        while p > head and q > head and sa[xs[p - 1]] == sb[ys[q - 1]]:
+            p, q = p - 1, q - 1
+        best = own + sum(na[i] for i in xs[:head]) * both + sum(na[i] for i in xs[p:]) * both
+        above = [0] * (q - head + 1)
         rows = [above]
-        for i in ca[x]:
-            label, leaf, text, left = la[i], not ca[i], ta[i], 0
+        kinds = [lb[k] for k in ys[head:q]]
+        for i in xs[head:p]:
+            label, left = la[i], 0
             row = [0]
-            for j, k in enumerate(cb[y]):
+            for j, kind in enumerate(kinds):
                 top = above[j + 1]
                 if left > top:
                     top = left
-                if lb[k] == label:
-                    if leaf and not cb[k]:
-                        s = above[j] + one + (text == tb[k])
-                    else:
-                        s = above[j] + score(i, k)
+                if kind == label:
+                    s = above[j] + score(i, ys[head + j])
                     if s > top:
                         top = s
                 row.append(top)
                 left = top
             rows.append(row)
             above = row
-        best = above[-1] + one + (ta[x] == tb[y])
-        memo[x, y] = (best, rows)
+        best += above[-1]
+        memo[x, y] = (best, rows, head, p, q)
         return best
 
-    if not ca[0] and not cb[0]:
-        return [(0, 0)]
     score(0, 0)
     pairs, todo = [], [(0, 0)]
     while todo:
         x, y = todo.pop()
+        if sa[x] == sb[y]:
+            pairs += [(x + d, y + d) for d in range(na[x])]  # a subtree is a run in document order
+            continue
         pairs.append((x, y))
-        if (x, y) not in memo:  # leaves
+        if not ca[x] or not cb[y]:
             continue
-        rows = memo[x, y][1]
-        i, j = len(ca[x]), len(cb[y])
+        full(x, y)
+        _, rows, head, p, q = memo[x, y]
+        xs, ys = ca[x], cb[y]
+        todo += zip(xs[:head], ys[:head])
+        todo += zip(xs[p:], ys[q:])
+        i, j = p - head, q - head
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
                 i -= 1
@@ -196,7 +265,7 @@ def align(a: Tree, b: Tree) -> list[tuple[int, int]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((ca[x][i], cb[y][j]))
+                todo.append((xs[head + i], ys[head + j]))
     return pairs
 
 
@@ -204,86 +273,149 @@ def _host() -> "F.Column":
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = SUPPORT, constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
+def _page(html: str | None) -> tuple[Tree, int, int]:
+    """(tree, with the texts that a reader sees alone, language, layout) of a page."""
+    t = _read(html)
+    tree = t.label, t.parent, t.text
+    return (t.label, t.parent, [x if v else "" for x, v in zip(t.text, visible(tree))]), _hash(t.lang), layout(tree, t.lang)
+
+
+def _matched(page: Tree, ref: tuple[Tree, tuple]) -> tuple[list[str], list[int], list[int]]:
+    """(texts, slots, places): the texts that a reader sees, the partner of each in the reference or -1, and the hash of its path."""
+    partner = {y: x for x, y in align(ref[0], page, ref[1])}
+    path = paths(page)
+    seen = [i for i, x in enumerate(page[2]) if x]
+    return [page[2][i] for i in seen], [partner.get(i, -1) for i in seen], [path[i] for i in seen]
+
+
+def _small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether a written table has at most `limit` bytes."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= limit
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = SUPPORT, constant: float = CONSTANT, least_pages: int = LEAST_PAGES, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """(page_id, host, n_texts, n_template, content): visible texts of each page, how many are template, and the others, a line each."""
     raw = pages.select(ident(id_col).cast("long").alias("id"), ident(url_col).cast("string").alias("url"), ident(html_col).cast("string").alias("html"))
     raw = raw.select("id", _host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    spark = pages.sparkSession
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, layouts, sizes, out = [], [], [], []
-            for html in b.column(2).to_pylist():
-                t = _read(html)
-                tree = t.label, t.parent, t.text
-                text = [x if v else "" for x, v in zip(t.text, visible(tree))]
-                langs.append(_hash(t.lang)), layouts.append(layout(tree, t.lang)), sizes.append(len(t.label)), out.append(json.dumps((t.label, t.parent, text)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.int64()), pa.array(layouts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.string())], ["id", "host", "lang", "layout", "n", "tree"])
-
-    parsed = written(raw.mapInArrow(trees, "id long, host string, lang long, layout long, n int, tree string"))
-    sized = parsed.select("host", "lang", "layout", "id", F.xxhash64("tree").alias("h"), "n")
-    middle = sized.groupBy("host", "lang", "layout").agg(F.percentile("n", F.lit(0.5)).alias("m"), F.count("*").alias("pages"))
-    chosen = sized.join(middle, ["host", "lang", "layout"]).where("n >= m").groupBy("host", "layout").agg(F.min_by(F.struct("id", "h"), F.struct("n", F.col("id").isNull(), "id", "h")).alias("r"))
-    reference = parsed.join(chosen.select("host", "layout", F.col("r.id").alias("rid"), F.col("r.h").alias("rh")), ["host", "layout"]).where("id <=> rid and xxhash64(tree) = rh")
-    reference = written(reference.groupBy("host", "lang", "layout").agg(F.first("tree").alias("ref")))
+            rows = [(_read_size(html)) for html in b.column(2).to_pylist()]
+            lang, layout_, n = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.int64()), pa.array(layout_, pa.int64()), pa.array(n, pa.int32()), b.column(3)], ["id", "host", "lang", "layout", "n", "h"])
 
-    both = parsed.join(reference.select("host", "layout", "ref"), ["host", "layout"])
+    sized = written(raw.withColumn("h", F.xxhash64("html")).mapInArrow(lean(sizes), "id long, host string, lang long, layout long, n int, h long"))
+    middle = sized.groupBy("host", "lang", "layout").agg(F.percentile("n", F.lit(0.5)).alias("m"), F.count("*").alias("pages"))
+    middle = written(middle)
+    chosen = sized.join(middle, ["host", "lang", "layout"]).where("n >= m").groupBy("host", "lang", "layout").agg(F.min_by(F.struct("id", "h"), F.struct("n", F.col("id").isNull(), "id", "h")).alias("r"))
+    chosen = written(chosen.select("host", "layout", F.col("r.id").alias("rid"), F.col("r.h").alias("h")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, Tree] | None = None
+    # the reference pages' own trees: one page may be there several times
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter = Counter()
-            for host, lang, layout_, tree, ref in zip(*(b.column(c).to_pylist() for c in range(5))):
-                if last is None or last[0] != ref:
-                    last = (ref, json.loads(ref))
-                page = json.loads(tree)
-                text = {i: _hash(page[2][i]) for i, v in enumerate(visible(page)) if v}
-                path = paths(page)
-                found.update({(host, lang, None, path[i], t) for i, t in text.items()})
-                found.update({(host, lang, None, path[i], None) for i in text})
-                found.update((host, lang, layout_, x, text[y]) for x, y in align(last[1], page) if y in text)
-            keys = list(zip(*found)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(k, pa.int64()) for k in keys[1:]), pa.array(found.values(), pa.int64())], ["host", "lang", "layout", "slot", "text", "n"])
-
-    kind = "host string, lang long, layout long, slot long, text long, n long"
-    counts = written(both.select("host", "lang", "layout", "tree", "ref").mapInArrow(count, kind).groupBy("host", "lang", "layout", "slot", "text").agg(F.sum("n").alias("n")))
-    # page numbers and slots of the layouts, of the languages and of the hosts
-    at_layout, at_path = counts.where("layout is not null"), counts.where("layout is null").drop("layout")
-
-    def fixed(own: DataFrame, key: list[str], least: int) -> DataFrame:
-        """(key, fixed): slots and texts that are template for the pages of a key."""
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([json.dumps(_page(x)[0]) for x in b.column(len(b.columns) - 1).to_pylist()], pa.string())], [*b.schema.names[:-1], "tree"])
+
+    few = _small(chosen, small_bytes)
+    found = raw.withColumn("h", F.xxhash64("html")).join(F.broadcast(chosen) if few else chosen, ["host", "h"]).where("id <=> rid").select("host", "layout", "html")
+    reference = written(found.dropDuplicates(["host", "layout"]).mapInArrow(lean(trees), "host string, layout long, tree string"))
+
+    kind = "id long, host string, lang long, layout long, texts array<string>, slots array<int>, places array<long>"
+
+    def table(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, _KIND)], [f.split()[0] for f in kind.split(", ")])
+
+    if few and _small(reference, small_bytes):
+        # references of a checked size go to every task, and pages stay where they are
+        shared = spark.sparkContext.broadcast({(r.host, r.layout): r.tree for r in reference.toLocalIterator()})
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = lru_cache(256)(lambda key: _ready(shared.value[key]))
+            for b in batches:
+                rows = []
+                for i, host, html in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    page, lang, layout_ = _page(html)
+                    rows.append((i, host, lang, layout_, *_matched(page, ready((host, layout_)))))
+                yield table(rows)
+
+        matched = written(raw.mapInArrow(lean(match), kind))
+    else:
+
+        def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [_page(x) for x in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[k] for g in got], pa.int64()) for k in (1, 2)), pa.array([json.dumps(g[0]) for g in got], pa.string())], ["id", "host", "lang", "layout", "tree"])
+
+        def align_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = lru_cache(16)(_ready)
+            for b in batches:
+                rows = [(i, host, lang, layout_, *_matched(json.loads(tree), ready(ref))) for i, host, lang, layout_, tree, ref in zip(*(b.column(c).to_pylist() for c in range(6)))]
+                yield table(rows)
+
+        parsed = raw.mapInArrow(lean(parse_all), "id long, host string, lang long, layout long, tree string")
+        both = parsed.join(reference.withColumnRenamed("tree", "ref"), ["host", "layout"]).select("id", "host", "lang", "layout", "tree", "ref")
+        matched = written(both.mapInArrow(lean(align_all), kind))
+
+    # a layout's page has a slot once; a path may be there with several texts
+    text = F.transform("texts", lambda x: F.xxhash64(x))
+    at_slot = F.transform(F.filter(F.arrays_zip(F.col("slots").alias("s"), text.alias("t")), lambda x: x["s"] >= 0), lambda x: F.struct(F.lit(True).alias("own"), x["s"].cast("long").alias("slot"), x["t"].alias("text")))
+    at_path = F.transform(F.array_distinct(F.arrays_zip(F.col("places").alias("s"), text.alias("t"))), lambda x: F.struct(F.lit(False).alias("own"), x["s"].alias("slot"), x["t"].alias("text")))
+    any_path = F.transform(F.array_distinct("places"), lambda x: F.struct(F.lit(False).alias("own"), x.alias("slot"), F.lit(None).cast("long").alias("text")))
+
+    def items(*lists: Column) -> DataFrame:
+        rows = matched.select("host", "lang", "layout", F.explode(F.concat(*lists)).alias("x"))
+        return rows.select("x.own", "host", "lang", F.when(F.col("x.own"), F.col("layout")).otherwise(F.lit(0)).alias("layout"), "x.slot", "x.text", F.pmod("x.text", F.lit(BUCKETS)).cast("int").alias("bucket"))
+
+    # Most texts of content are there once.  A text can only be constant in a slot if its bucket is: the others aren't counted one by one.
+    fine = ["own", "host", "lang", "layout", "slot"]
+    cells = written(items(at_slot, at_path, any_path).groupBy(*fine, "bucket").agg(F.count("*").alias("n")))
+    scopes = [(True, ["host", "lang", "layout"], least_pages), (False, ["host", "lang"], least_pages), (False, ["host"], 1)]
+
+    def slots_of(own: bool, key: list[str]) -> DataFrame:
+        """(key, slot, in): the slots that enough pages of a key have, and how many have them."""
         total = middle.groupBy(key).agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages)
-        own = own.groupBy(*key, "slot", "text").agg(F.sum("n").alias("n"))
-        # a layout's page has a slot once; a path may be there with several texts
-        slots = own.groupBy(*key, "slot").agg(F.sum("n").alias("in")) if "layout" in key else own.where("text is null").select(*key, "slot", F.col("n").alias("in"))
-        good = own.where("text is not null").where(F.col("n") >= least).join(slots, [*key, "slot"]).join(total, key)
-        good = good.where((F.col("in") >= support * F.col("pages")) & (F.col("n") >= constant * F.col("in")))
-        return good.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias("fixed_" + key[-1]))
-
-    scopes = [(at_layout, ["host", "lang", "layout"], least_pages), (at_path, ["host", "lang"], least_pages), (at_path, ["host"], 1)]
-    template = reference
+        c = cells.where(F.col("own") if own else ~F.col("own") & F.col("bucket").isNull())
+        return c.groupBy(*key, "slot").agg(F.sum("n").alias("in")).join(total, key).where(F.col("in") >= support * F.col("pages")).select(*key, "slot", "in")
+
+    kept = None
+    for own, key, least in scopes:
+        c = cells.where((F.col("own") == own) & F.col("bucket").isNotNull())
+        good = c.groupBy(*key, "slot", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).join(slots_of(own, key), [*key, "slot"]).where(F.col("n") >= constant * F.col("in"))
+        one = c.join(good.select(*key, "slot", "bucket"), [*key, "slot", "bucket"], "left_semi").select(*fine, "bucket")
+        kept = one if kept is None else kept.union(one)
+    kept = written(kept.distinct())
+    counts = items(at_slot, at_path).join(F.broadcast(kept) if _small(kept, small_bytes) else kept, [*fine, "bucket"], "left_semi").groupBy(*fine, "text").agg(F.count("*").alias("n"))
+    counts = written(counts)
+
+    template = reference.select("host", "layout").join(middle.select("host", "lang", "layout"), ["host", "layout"])
+    names = []
     for own, key, least in scopes:
-        template = template.join(fixed(own, key, least), key, "left")
-    none = F.lit("[]")
-    template = template.select("host", "layout", "ref", *(F.coalesce("fixed_" + key[-1], none).alias("fixed_" + key[-1]) for _, key, _ in scopes))
+        good = counts.where(F.col("own") == own).groupBy(*key, "slot", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= least).join(slots_of(own, key), [*key, "slot"]).where(F.col("n") >= constant * F.col("in"))
+        names.append("fixed_" + key[-1])
+        template = template.join(good.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias(names[-1])), key, "left")
+    # written, so that the join below is of two plain tables, and a host with many pages can be split
+    template = written(template.select("host", "layout", *(F.coalesce(n, F.lit("[]")).alias(n) for n in names)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+        pairs = lru_cache(512)(lambda x: {(s, t) for s, t in json.loads(x)})
         for b in batches:
             total, constant_, content = [], [], []
-            for tree, *rest in zip(*(b.column(c).to_pylist() for c in range(2, 7))):
-                if last is None or last[0] != rest:
-                    nodes, by_lang, by_host = ({(s, t) for s, t in json.loads(x)} for x in rest[1:])
-                    last = (rest, json.loads(rest[0]), nodes, by_lang | by_host)
-                page = json.loads(tree)
-                seen = [i for i, v in enumerate(visible(page)) if v]
-                path = paths(page)
-                constant_nodes = {i for i in seen if (path[i], _hash(page[2][i])) in last[3]}
-                if last[2]:
-                    constant_nodes |= {y for x, y in align(last[1], page) if page[0][y] == "#" and (x, _hash(page[2][y])) in last[2]}
-                content_nodes = [i for i in seen if i not in constant_nodes]
-                total.append(len(seen)), constant_.append(len(seen) - len(content_nodes))
-                content.append("\n".join(page[2][i] for i in content_nodes))
+            for texts, hashes, slots, places, in_layout, in_lang, in_host in zip(*(b.column(c).to_pylist() for c in range(2, 9))):
+                in_layout, in_lang, in_host = pairs(in_layout), pairs(in_lang), pairs(in_host)
+                own = [x for x, t, s, p in zip(texts, hashes, slots, places) if (s, t) not in in_layout and (p, t) not in in_lang and (p, t) not in in_host]
+                total.append(len(texts)), constant_.append(len(texts) - len(own)), content.append("\n".join(own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int32()), pa.array(constant_, pa.int32()), pa.array(content, pa.string())], ["page_id", "host", "n_texts", "n_template", "content"])
 
-    joined = parsed.join(template, ["host", "layout"]).select("id", "host", "tree", "ref", "fixed_layout", "fixed_lang", "fixed_host")
-    return joined.mapInArrow(split, "page_id long, host string, n_texts int, n_template int, content string")
+    joined = matched.join(F.broadcast(template) if _small(template, small_bytes) else template, ["host", "layout"]).select("id", "host", "texts", text.alias("hashes"), "slots", "places", *names)
+    return joined.mapInArrow(lean(split), "page_id long, host string, n_texts int, n_template int, content string")
+
+
+def _ready(tree: str) -> tuple[Tree, tuple]:
+    own = json.loads(tree)
+    return own, subtrees(own)
+
+
+def _read_size(html: str | None) -> tuple[int, int, int]:
+    """(language, layout, number of nodes) of a page."""
+    t = _read(html)
+    return _hash(t.lang), layout((t.label, t.parent, t.text), t.lang), len(t.label)
