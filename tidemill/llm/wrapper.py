@@ -44,7 +44,11 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _HIDDEN = frozenset("script style template noscript iframe svg head".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _LIST_STOP, _BLOCK_STOP, _P = frozenset(("ul", "ol", "table", "dl", "div", "article", "section")), frozenset(("table", "li", "td", "div", "article", "section")), {"p"}
-_SEPARATOR = re.compile(r"(?<=\s)[|\u00b7\u2022\u00bb\u203a](?=\s)")
+_SEPARATOR = re.compile(r"[|\u00b7\u2022\u00bb\u203a](?<=\s.)(?=\s)")
+_PLAIN_TAG = re.compile(r"""<[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z][A-Za-z-]*="[^"<>]*")*\s*>""")  #: where such a tag ends does not depend on what follows
+_PLAIN_END = re.compile(r"</[A-Za-z][A-Za-z0-9]*>")
+TAG_CHARS, TAGS = 256, 1 << 14  #: length and number of the plain tags that a process remembers
+_tags: dict[str, tuple[str, str, str]] = {}
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -70,15 +74,50 @@ class _Tree(HTMLParser):
             if tag in stop:
                 return
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are of no use here
+
+    def parse_starttag(self, i: int) -> int:
+        raw = self.rawdata
+        j = raw.find(">", i, i + TAG_CHARS) + 1
+        if not j:
+            return super().parse_starttag(i)
+        own = raw[i:j]
+        known = _tags.get(own)
+        if known is None:
+            end = super().parse_starttag(i)
+            if end == j and _PLAIN_TAG.fullmatch(own):
+                if len(_tags) >= TAGS:
+                    _tags.clear()
+                _tags[own] = self.last
+            return end
+        self._open(*known)
+        if known[0] in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(known[0])
+        return j
+
+    def parse_endtag(self, i: int) -> int:
+        if self.cdata_elem is None:
+            m = _PLAIN_END.match(self.rawdata, i)
+            if m:
+                self.handle_endtag(self.rawdata[i + 2:m.end() - 1].lower())
+                return m.end()
+        return super().parse_endtag(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        kind = next((v for k, v in attrs if k == "class" and v), "") if attrs else ""
+        lang = next((v.lower() for k, v in attrs if k == "lang" and v), "") if tag == "html" else ""
+        self.last = tag, f"{tag}.{kind}" if kind else tag, lang
+        self._open(*self.last)
+
+    def _open(self, tag: str, label: str, lang: str) -> None:
         if tag in _CLOSES:
             self._pop(_CLOSES[tag], _LIST_STOP)
         elif tag in _BLOCK:
             self._pop(_P, _BLOCK_STOP)
-        kind = next((v for k, v in attrs if k == "class" and v), "") if attrs else ""
-        if tag == "html" and not self.lang:
-            self.lang = next((v.lower() for k, v in attrs if k == "lang" and v), "")
-        node = self._add(f"{tag}.{kind}" if kind else tag)
+        if lang and not self.lang:
+            self.lang = lang
+        node = self._add(label)
         if tag not in _VOID and len(self.path) < DEPTH:
             self.path.append(node), self.tags.append(tag)
 
