@@ -142,6 +142,56 @@ def test_spotsigs_links_exact_copies_without_signatures(spark):
     assert got == [(1, 1, 0), (2, 2, 3), (2, 2, 3), (3, 3, 0), (4, 4, 0), (5, 2, 3), (6, 6, 0), (7, 2, 3), (8, 8, 0), (9, 9, 0), (10, 10, 0)]
 
 
+def test_spotsigs_groups_do_not_grow_with_a_shared_passage(spark):
+    """A passage of all documents makes no large group of postings, and what is linked stays that of brute force."""
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    texts = [passage + " " + prose(rng, 40 + rng.randrange(40)) for _ in range(300)]
+    texts += [edited(rng, texts[k], 2) for k in range(100)] + [passage] * 3 + [edited(rng, passage, 1) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOCS)
+    anchors = spotsigs._anchor_hashes()
+    last = spotsigs.frequent(docs.select(F.col("doc_id").alias("id"), "text"), anchors, spotsigs.CHAIN)
+    column = pa.array(texts, pa.large_string())
+    largest = []
+    for order in (None, spotsigs.Order(last)):
+        off, m = spotsigs.signatures(column, anchors, spotsigs.CHAIN, order)
+        largest.append(int(np.unique(spotsigs._postings(off, m, spotsigs.THRESHOLD)["sig"], return_counts=True)[1].max()))
+    assert largest[0] > 250 and largest[1] < 40
+    sets = [frozenset(m[off[k] : off[k + 1]].tolist()) for k in range(len(texts))]
+    want = brute_classes(list(enumerate(sets)), lambda a, b: len(a & b) / len(a | b) >= spotsigs.THRESHOLD - 1e-12)
+    assert sum(n for *_, n in want) > 150
+    assert classes(spotsigs.near_classes(docs)) == want
+
+
+def test_spotsigs_order_is_a_permutation():
+    top = (1 << 32) - 1
+    order = spotsigs.Order(np.array([7, top, 5, top - 3, 1 << 20], np.uint32))
+    v = np.array([7, top, 5, top - 3, 1 << 20, top - 1, top - 2, top - 4, 6, (1 << 20) + 7], np.uint32)
+    got = order(v).tolist()
+    assert got[:5] == [top - 4, top - 3, top - 2, top - 1, top] and got[8:] == [6, (1 << 20) + 7]
+    assert sorted(got) == sorted(v.tolist())
+    assert spotsigs.Order(np.zeros(0, np.uint32))(v).tolist() == v.tolist()
+
+
+@pytest.mark.parametrize("large", [2, 1 << 30])
+def test_spotsigs_surviving_keeps_every_pair_at_least(monkeypatch, large):
+    """Groups compared on their own or together: every true pair stays in the group of its least shared member."""
+    monkeypatch.setattr(spotsigs, "LARGE", large)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, (12, 40), dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(40) < 0.06, rng.integers(0, 1 << 32, 40, dtype=np.uint64), base[k % 12])).astype(np.uint32) for k in range(150)]
+    off, m = np.cumsum([0, *map(len, sets)]), np.concatenate(sets)
+    sig, h = spotsigs.surviving(spotsigs._postings(off, m, 0.7), 0.7)
+    kept, hashes = set(zip(sig.tolist(), h.tolist())), spotsigs._set_hash(off, m).tolist()
+    pairs = 0
+    for a, b in itertools.combinations(range(150), 2):
+        both = np.intersect1d(sets[a], sets[b])
+        if 0.7 <= len(both) / (len(sets[a]) + len(sets[b]) - len(both)) < 1:
+            pairs += 1
+            assert {(int(both[0]), hashes[a]), (int(both[0]), hashes[b])} <= kept
+    assert pairs > 300
+
+
 # 8
 def brute_repeats(rows, least):
     w = words.words(pa.array([t for _, t in rows], pa.large_string()))

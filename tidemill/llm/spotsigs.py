@@ -5,8 +5,9 @@ are no anchors.  A document is the set of its signatures; two documents are near
 is at least `threshold`.  Every document is a query.
 
 Plan: equal sets collapse to one by a 64-bit hash of the set.  By the prefix bound, sets with Jaccard t share one of the first n - ceil(t n) + 1
-members in any fixed order (here: by value), and the least member that they share is such a one for both: so each set is posted under
-those members only.  In the group of a member, sorted by set length, only lengths within the ratio t meet (partition by
+members in any fixed order, and the least member that they share is such a one for both: so each set is posted under
+those members only.  The order is by value, but members that many documents of a sample share are renumbered to come last, the most frequent last of all:
+otherwise a passage that a share of all documents holds makes groups that grow with the table, and work with their square.  The sample decides on work alone, not on links.  In the group of a member, sorted by set length, only lengths within the ratio t meet (partition by
 length); a 128-bit sketch of least values prunes further, and pairs that share one of their
 LEAD least members, if less than the group's, are left to that one's group.  Members with a surviving pair are joined with their sets and verified exactly; a
 pair counts where the group's member is the least that both share, so nothing counts twice.  Pairs are not written: a group leaves a forest
@@ -42,6 +43,9 @@ ANCHORS = (
     "el los las una y es que del por con para se no su al lo"
 ).split()
 LEAD = 4  #: least members that a posting carries
+LARGE = 64  #: postings of a group that is compared on its own; smaller ones go together
+SAMPLE = 16_384  #: documents, about, in which frequent members are looked for
+OFTEN, MOST_FREQUENT = 3, 65_536  #: sets of the sample that hold a frequent member, at least; frequent members, at most
 _RECORD = np.dtype([("sig", "<u4"), ("lead", "<u4", (LEAD,)), ("n", "<u4"), ("h", "<u8"), ("sketch", "<u8", (2,))])
 
 
@@ -49,12 +53,37 @@ def _anchor_hashes() -> np.ndarray:
     return np.sort(np.array([hash_word(w) for w in set(ANCHORS)], np.uint64))
 
 
-def signatures(column: pa.Array, anchors: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
+class Order:
+    """A permutation of the 32-bit numbers: those given become the greatest, in the order in which they are given."""
+
+    def __init__(self, last: np.ndarray):
+        last = last.astype(np.uint32)
+        top = np.arange((1 << 32) - len(last), 1 << 32, dtype=np.uint64).astype(np.uint32)
+        # what stood at the top takes the places that become free
+        old = np.concatenate([last, np.setdiff1d(top, last)])
+        new = np.concatenate([top, np.setdiff1d(last, top)])
+        by = np.argsort(old)
+        self.old, self.new = old[by], new[by]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.old & np.uint32(0xFFFFF)] = True
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.maybe[v & np.uint32(0xFFFFF)])
+        if not len(at):
+            return v
+        k = np.minimum(np.searchsorted(self.old, v[at]), len(self.old) - 1)
+        hit = self.old[k] == v[at]
+        v = v.copy()
+        v[at[hit]] = self.new[k[hit]]
+        return v
+
+
+def signatures(column: pa.Array, anchors: np.ndarray, chain: int = CHAIN, order: Order | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, members): the sorted set of 32-bit signatures of each row."""
-    return _signatures(words(column), anchors, chain)
+    return _signatures(words(column), anchors, chain, order)
 
 
-def _signatures(w: Words, anchors: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(w: Words, anchors: np.ndarray, chain: int, order: Order | None = None) -> tuple[np.ndarray, np.ndarray]:
     k = np.minimum(np.searchsorted(anchors, w.hash), len(anchors) - 1)
     is_anchor = anchors[k] == w.hash
     spot, content = np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor)
@@ -65,6 +94,8 @@ def _signatures(w: Words, anchors: np.ndarray, chain: int) -> tuple[np.ndarray,
     ok = w.row[content[at + chain - 1]] == w.row[spot]  # the chain ends in the anchor's document
     spot, at = spot[ok], at[ok]
     sig = mix(w.hash[spot] + g[at]) >> np.uint64(32)
+    if order:
+        sig = order(sig.astype(np.uint32)).astype(np.uint64)
     key = np.unique((w.row[spot].astype(np.uint64) << np.uint64(32)) | sig)
     return np.searchsorted(key >> np.uint64(32), np.arange(w.rows + 1)), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -106,11 +137,42 @@ def _postings(off: np.ndarray, members: np.ndarray, threshold: float) -> np.ndar
     return out
 
 
-def _groups(order: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-    """Runs of equal keys with at least two members."""
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the runs of equal keys with at least two members."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     size = np.diff(edge)
-    return [order[a : a + s] for a, s in zip(edge[:-1][size > 1], size[size > 1])]
+    return edge[:-1][size > 1], size[size > 1]
+
+
+def _elsewhere(rec: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of postings of one member each, but for those that share a lesser one among their first."""
+    sig = rec["sig"][a]
+    for x in range(LEAD):
+        for y in range(LEAD):
+            mine = rec["lead"][a, x]
+            other = (mine != rec["lead"][b, y]) | (mine >= sig)
+            a, b, sig = a[other], b[other], sig[other]
+    return a, b
+
+
+def _few(rec: np.ndarray, start: np.ndarray, size: np.ndarray, threshold: float, limit: int, keep: np.ndarray) -> None:
+    """Mark in keep the postings of small groups that have a pair worth a look: all pairs of many groups at a time."""
+    i = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    later = np.repeat(start + size, size) - i - 1  # of each posting, those after it in its group
+    i, later = i[later > 0], later[later > 0]
+    total = np.concatenate([[0], np.cumsum(later)])
+    x = 0
+    while x < len(i):
+        y = max(x + 1, int(np.searchsorted(total, total[x] + (1 << 19), "right")) - 1)
+        a = np.repeat(i[x:y], later[x:y])
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[x:y] - total[x], later[x:y])
+        near = rec["n"][a] >= threshold * rec["n"][b] - 1e-9
+        a, b = a[near], b[near]
+        p, q = rec["sketch"][a], rec["sketch"][b]
+        near = np.bitwise_count(p ^ q).sum(1, np.uint8) <= limit
+        a, b = _elsewhere(rec, a[near], b[near])
+        keep[a] = keep[b] = True
+        x = y
 
 
 def surviving(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +183,24 @@ def surviving(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
         rec = rec[~same]
     keep = np.zeros(len(rec), bool)
     limit = sketch_limit(threshold)
-    for g in _groups(np.arange(len(rec)), rec["sig"]):
-        n, lead, sketch, sig = rec["n"][g].astype(np.int64), rec["lead"][g], rec["sketch"][g], rec["sig"][g[0]]
-        step = max(1, (1 << 20) // len(g))
-        for i in range(0, len(g), step):
+    start, size = _groups(rec["sig"])
+    _few(rec, start[size < LARGE], size[size < LARGE], threshold, limit, keep)
+    for first, large in zip(start[size >= LARGE].tolist(), size[size >= LARGE].tolist()):
+        g = slice(first, first + large)
+        n, lead, sketch, sig = rec["n"][g].astype(np.int64), rec["lead"][g, 0].copy(), rec["sketch"][g], rec["sig"][first]
+        step = max(1, (1 << 20) // large)
+        for i in range(0, large, step):
             j = i + step
-            stop = int(np.searchsorted(n, n[min(j, len(g)) - 1] / threshold + 1e-9, "right"))
+            stop = int(np.searchsorted(n, n[min(j, large) - 1] / threshold + 1e-9, "right"))
             # bit counts are bytes, of at most 64 each: their sum fits
             near = np.bitwise_count(sketch[i:j, None, 0] ^ sketch[None, i:stop, 0]) + np.bitwise_count(sketch[i:j, None, 1] ^ sketch[None, i:stop, 1]) <= limit
             near &= n[i:j, None] >= threshold * n[None, i:stop] - 1e-9
-            near &= np.arange(i, stop)[None, :] > np.arange(i, min(j, len(g)))[:, None]
+            near &= np.arange(i, stop)[None, :] > np.arange(i, min(j, large))[:, None]
             # where the first members are equal and less, as in groups of copies, most pairs go at once
-            near &= (lead[i:j, None, 0] != lead[None, i:stop, 0]) | (lead[i:j, None, 0] >= sig)
+            near &= (lead[i:j, None] != lead[None, i:stop]) | (lead[i:j, None] >= sig)
             a, b = np.nonzero(near)
-            a, b = a + i, b + i
-            for x in range(LEAD):
-                for y in range(LEAD):
-                    other = (lead[a, x] != lead[b, y]) | (lead[a, x] >= sig)
-                    a, b = a[other], b[other]
-            keep[g[a]] = True
-            keep[g[b]] = True
+            a, b = _elsewhere(rec, a + i + first, b + i + first)
+            keep[a] = keep[b] = True
     return rec["sig"][keep], rec["h"][keep]
 
 
@@ -189,17 +249,35 @@ def verified(sig: int, sets: list[np.ndarray], threshold: float) -> Iterator[tup
             yield order[a + i][good], order[b + i][good]
 
 
+def frequent(narrow: DataFrame, anchors: np.ndarray, chain: int, sample: int = SAMPLE) -> np.ndarray:
+    """Members that many different sets of a sample of (id, text) hold, the most frequent last."""
+    one_in = max(1, narrow.count() // sample)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                off, members = signatures(b.column(1), anchors, chain)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(off, members).view(np.int64)), pa.ListArray.from_arrays(off.astype(np.int32), members.astype(np.int64))], ["h", "members"])
+
+    some = narrow.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(one_in)) == 0)
+    found = some.mapInArrow(lean(drawn), "h long, members array<long>").dropDuplicates(["h"]).select(F.explode("members").alias("sig")).groupBy("sig").count()
+    rows = found.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).collect()
+    return np.array([r.sig for r in reversed(rows)], np.uint32)
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
     """(doc_id, class_id, n_links) of every row with an id: the least id of its group of near copies, and the number of its near copies."""
     anchors, n_parts = _anchor_hashes(), parts(docs.sparkSession)
     narrow = docs.select(ident(id_col).cast("long").alias("id"), ident(text_col).cast("string").alias("text")).where("id is not null")
+    last = frequent(narrow, anchors, chain)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, h, rest): the hash of the set of signatures and 0; without a signature, 127 bits of that of the sequence of words, or nulls without a word."""
+        order = Order(last)
         for batch in batches:
             for b in pieces(batch, "text"):
                 w = words(b.column(1))
-                off, members = _signatures(w, anchors, chain)
+                off, members = _signatures(w, anchors, chain, order)
                 first, n = w.first, np.diff(off)
                 h, rest = _set_hash(off, members).view(np.int64), np.zeros(w.rows, np.int64)
                 none = (n == 0) & (np.diff(first) == 0)
@@ -209,9 +287,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, mask=none), pa.array(rest, mask=none)], ["id", "h", "rest"])
 
     def sets(batches: Iterator[pa.RecordBatch]):
+        order = Order(last)
         for batch in batches:
             for b in pieces(batch, "text"):
-                yield signatures(b.column(1), anchors, chain)
+                yield signatures(b.column(1), anchors, chain, order)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for off, members in sets(batches):
