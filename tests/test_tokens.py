@@ -25,6 +25,18 @@ def moved(spark, run):
     return total() - before
 
 
+def counted(spark, df):
+    """df, and a count of the rows made of it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema), made
+
+
 def corpus(rows, words, length, seed=0):
     rng = random.Random(seed)
     return [(k, [f"w{rng.randrange(words)}" for _ in range(rng.randrange(length))]) for k in range(rows)]
@@ -63,3 +75,10 @@ def test_contract_probe_reads_rows_already_made(spark, monkeypatch):
     monkeypatch.setattr(loading.N.Contract, "probe", probed)
     QUERIES["contract_probe"](spark, SF)
     assert read and not any("documents.parquet" in f for f in read)
+
+
+def test_schema_violations_makes_ids_once(spark, monkeypatch):
+    df, made = counted(spark, texts.ids(spark, SF))
+    monkeypatch.setattr(texts, "ids", lambda spark, d: df)
+    assert QUERIES["schema_violations"](spark, SF).collect()
+    assert made.value == spark.read.parquet(f"{SF}/documents.parquet").count()
