@@ -1,12 +1,14 @@
 """Token ids by slices, packing and the queries on them: equal to plain versions, without moving each token or making rows twice."""
 
+import functools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import text
-from tidemill.plans import QUERIES, loading, texts
+from tidemill.plans import ORACLE_SQL, QUERIES, loading, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,15 +56,34 @@ def test_ids_of_slices_equal_the_plain_rule(spark, monkeypatch, most):
     assert text.token_ids(df.limit(0), "k", broadcast_rows=0).collect() == []
 
 
-def test_a_large_vocabulary_moves_words_not_occurrences(spark):
-    docs = spark.createDataFrame(corpus(400, 60, 200), "k long, tokens array<string>").coalesce(2)
+@pytest.fixture
+def unshared(spark, monkeypatch):
+    """Vocabularies of any size are taken for large ones, and joins aren't broadcast."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what is large isn't broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(text, "token_ids", functools.partial(text.token_ids, broadcast_rows=0))
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_large_vocabulary_moves_words_not_occurrences(spark, unshared):
+    docs = spark.createDataFrame(corpus(400, 60, 200), "k long, tokens array<string>").coalesce(2)
     occurrences = docs.agg(F.sum(F.size("tokens"))).first()[0]
-    try:
-        assert moved(spark, lambda: text.token_ids(docs, "k", broadcast_rows=0).collect()) < occurrences / 10
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved(spark, lambda: text.token_ids(docs, "k").collect()) < occurrences / 10
+
+
+@pytest.mark.parametrize("name", ["loss_mask_full"])
+def test_queries_with_a_large_vocabulary_equal_their_sql_and_move_words(spark, unshared, tmp_path, name):
+    rows = [(k, "en", " ".join(words)) for k, words in corpus(600, 60, 200)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    rows_moved = moved(spark, lambda: got.extend(QUERIES[name](spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = duck.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(cur.fetchall())
+    assert rows_moved < sum(len(t.split()) for _, _, t in rows) / 5
 
 
 def test_contract_probe_reads_rows_already_made(spark, monkeypatch):
