@@ -72,7 +72,7 @@ def test_a_large_vocabulary_moves_words_not_occurrences(spark, unshared):
     assert moved(spark, lambda: text.token_ids(docs, "k").collect()) < occurrences / 10
 
 
-@pytest.mark.parametrize("name", ["loss_mask_full", "causal_labels", "pretrain_pipeline"])
+@pytest.mark.parametrize("name", ["loss_mask_full", "causal_labels", "pretrain_pipeline", "token_scan"])
 def test_queries_with_a_large_vocabulary_equal_their_sql_and_move_words(spark, unshared, tmp_path, name):
     rows = [(k, "en", " ".join(words)) for k, words in corpus(600, 60, 200)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
