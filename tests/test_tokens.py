@@ -114,9 +114,9 @@ def test_chunks_inside_a_document_are_not_moved(spark):
 def test_ids_are_written_once(spark, monkeypatch, name):
     tables, write = [], texts.written
 
-    def written(df):
+    def written(df, *options):
         tables.append(df.columns)
-        return write(df)
+        return write(df, *options)
 
     for module in (texts, loading, text):
         monkeypatch.setattr(module, "written", written)
